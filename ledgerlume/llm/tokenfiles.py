@@ -26,6 +26,7 @@ import struct
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ from ledgerlume.llm.shared import new_folder, short_batches, written
 
 MAGIC = b"LLPLANE1"
 TAIL = "<5Q3I"
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: Pieces of a generation whose ids a worker remembers, about.
+REMEMBERED = 200_000
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -150,43 +151,103 @@ class ShardReader:
             yield name, n, pieces
 
 
-def encoder(path: str, end_id: int | None):
-    """A function from a text to its ids as bytes, the end id appended.
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level models spell bytes: printable ones as they are, the
+    others in order from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in set(kept)]
+    return {x: chr(x) for x in kept} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
-    Neither the normaliser nor the splitter of this kind of tokenizer looks across a space or
-    line feed and both drop them, so a text's ids are those of its pieces, one after the
-    other; pieces met before are remembered. The first use confirms on a probe that the
-    tokenizer is of this kind; if it isn't, whole texts are encoded.
-    """
-    home = sys.modules.setdefault("_ledgerlume_words", types.ModuleType("_ledgerlume_words"))
-    if (path, end_id) in home.__dict__:
-        return home.__dict__[path, end_id]
-    from tokenizers import Tokenizer
-
-    tool = Tokenizer.from_file(path)
-    close = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def plain(text: str) -> bytes:
-        return np.array(tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    class Known(dict):
-        def __missing__(self, word: str) -> bytes:
-            out = plain(word)
-            if len(word) <= 64:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = out
-            return out
+class Encoder:
+    """Texts to ids as bytes, the end id appended.
 
-    known = Known({"": b""})
-
-    def pieces(text: str) -> bytes:
-        return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
+    Neither the normaliser nor the splitter of the tokenizers this is meant for looks across a
+    space or line feed, and both drop them, so a text's ids are those of its pieces, one after
+    the other. Pieces met before are remembered in two generations, so that frequent ones
+    stay. Of new pieces, plain letters (and a full stop or comma after them) go to the
+    tokenizer's model in lower case, which is all the other steps do to them; the rest are
+    encoded together, a mark of their own between them. Probes confirm that the tokenizer is of
+    this kind; if it isn't, whole texts are encoded.
+    """
 
-    probe = "It's  10 o'clock,\n\nÉté <|endoftext|> x́ !?\t a 'S\n"
-    body = pieces if pieces(probe) == plain(probe) else plain
-    home.__dict__[path, end_id] = out = lambda text: body(text) + close
-    return out
+    MARK = "\x01"
+    #: Letters below this have one lower-case letter and no other composed form.
+    PLAIN_LETTERS = "\u0130"
+
+    def __init__(self, path: str, end_id: int | None) -> None:
+        from tokenizers import Tokenizer
+
+        self.tool = Tokenizer.from_file(path)
+        self.model = self.tool.model
+        self.close = b"" if end_id is None else struct.pack("<I", end_id)
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.spelt = str.maketrans(byte_letters())
+        own = self._ids(self.MARK)
+        self.mark = int(own[0]) if len(own) == 1 else None
+        self.stops = {x: self._ids(x).tobytes() for x in ".,"}
+        words = ("hello", "UNFORESEEABLE", "Été", "Straße", "ÑANDÚ", "ĀĒ", "q", "ªº")
+        self.modelled = all(self._ids(x + y).tobytes() == self._letters(x.lower()) + z for x in words for y, z in (("", b""), *self.stops.items()))
+        probe = ["It's", "", "10", "o'clock,", "", "", "Été", "<|endoftext|>", "x\u0301", "!?\t", "a", "'S", ""]
+        whole = self._ids(" ".join(probe).replace("  ", " \n")).tobytes()
+        self.by_piece = self.mark is not None and whole == b"".join(self._ids(x).tobytes() for x in probe) == b"".join(self._together(probe))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _letters(self, stem: str) -> bytes:
+        """Ids of a stem of plain letters in lower case."""
+        spelt = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.spelt)
+        ids = array("I", [x.id for x in self.model.tokenize(spelt)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        ids = self._ids(f" {self.MARK} ".join(pieces))
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts pieces that aren't known among the known."""
+        known, older, letters, odd = self.known, self.older, self._letters, []
+        for x in pieces:
+            if (y := older.get(x)) is not None:
+                known[x] = y
+                continue
+            stem, end = x, b""
+            if x[-1] in ".," and x[-2:-1].isalpha():
+                stem, end = x[:-1], self.stops[x[-1]]
+            if self.modelled and stem.isalpha() and (stem.isascii() or max(stem) < self.PLAIN_LETTERS):
+                known[x] = letters(stem.lower()) + end
+            else:
+                odd.append(x)
+        plain = [x for x in odd if self.MARK not in x]
+        known.update((x, self._ids(x).tobytes()) for x in odd if self.MARK in x)
+        for i in range(0, len(plain), 4096):
+            known.update(zip(plain[i : i + 4096], self._together(plain[i : i + 4096]), strict=True))
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_piece:
+            yield from (self._ids(x).tobytes() + self.close for x in texts)
+            return
+        pieces = [x.replace("\n", " ").split(" ") for x in texts]
+        self._learn(set().union(*pieces) - self.known.keys())
+        find = self.known.__getitem__
+        for own in pieces:
+            yield b"".join(map(find, own)) + self.close
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """The worker's encoder, which outlives a task."""
+    home = sys.modules.setdefault("_ledgerlume_words", types.ModuleType("_ledgerlume_words"))
+    if (path, end_id) not in home.__dict__:
+        home.__dict__[path, end_id] = Encoder(path, end_id)
+    return home.__dict__[path, end_id]
 
 
 def _open_shard(folder: str, number: int):
@@ -204,9 +265,9 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
         with system.open_output_stream(draft) as sink:
             shard = ShardWriter(sink, block_ids, bits)
             for batch in batches:
-                names, texts = batch.column(0).to_pylist(), batch.column(1)
-                for name, text in zip(names, texts, strict=True):
-                    shard.add(name, encode(text.as_py() or ""))
+                names = batch.column(0).to_pylist()
+                for name, ids in zip(names, encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                    shard.add(name, ids)
                 n_docs += len(names)
             shard.close()
         if n_docs:
@@ -218,14 +279,15 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
     return write
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 16, bits: bool = False, shard_bytes: int = 64 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 16, bits: bool = False, shard_bytes: int = 16 << 20, most_shards: int = 20_000) -> DataFrame:
     """Writes the shards and returns their table: shard, n_docs, n_ids and start, the ids in
-    all shards before. shard_bytes: of text for one shard, about; it bounds a task's work."""
+    all shards before. shard_bytes: of text for one shard, about; more where there would be more
+    than most_shards."""
     spark = docs.sparkSession
     short_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("body"))
     total = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
+    n = min(most_shards, max(1, -(-total // shard_bytes)))
     tie = F.xxhash64("body")
     dealt = own.repartitionByRange(n, F.col("name"), tie).sortWithinPartitions("name", tie)
     shards = written(dealt.mapInArrow(_writer(folder, tokenizer, end_id, block_ids, bits), "shard long, n_docs long, n_ids long"), "shards")

@@ -27,13 +27,26 @@ def test_random_access(tmp_path):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sStTé́Σ　 \x1c0|<>")), st.characters(codec="utf-8")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sStTé́Σ　 \x1c\x010|<>")), st.characters(codec="utf-8")), max_size=60))
 def test_pieces_encode_as_the_whole(text):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     tool = Tokenizer.from_file(path)
-    assert np.frombuffer(tokenfiles.encoder(path, 1)(text), "<u4").tolist() == [*tool.encode(text, add_special_tokens=False).ids, 1]
+    assert np.frombuffer(b"".join(tokenfiles.encoder(path, 1)([text])), "<u4").tolist() == [*tool.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_generations_and_kind():
+    e = tokenfiles.Encoder(queries.tokenizer_path(), 1)
+    assert e.by_piece
+    texts = [f"w{i % 50} x{i}" for i in range(300)]
+    want = [tokenfiles.Encoder(queries.tokenizer_path(), 1)._ids(t).tobytes() + e.close for t in texts]
+    e_remembered = tokenfiles.REMEMBERED
+    try:
+        tokenfiles.REMEMBERED = 40
+        assert [x for i in range(0, 300, 20) for x in e(texts[i : i + 20])] == want
+    finally:
+        tokenfiles.REMEMBERED = e_remembered
 
 
 def test_other_tokenizers_are_encoded_whole():
@@ -42,7 +55,7 @@ def test_other_tokenizers_are_encoded_whole():
     path = queries.tokenizer_path("byte_bpe_50k.json")
     tool = Tokenizer.from_file(path)
     text = "Two  words\n and <|endoftext|>"
-    assert np.frombuffer(tokenfiles.encoder(path, None)(text), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(tokenfiles.encoder(path, None)([text])), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
 def test_files_against_plain_encoding(spark, frame, odd):
