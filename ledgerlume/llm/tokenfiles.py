@@ -34,10 +34,10 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlume.llm.shared import new_folder, short_batches, written
+from ledgerlume.llm.shared import new_folder, short_batches
 
 MAGIC = b"LLPLANE1"
 TAIL = "<5Q3I"
@@ -282,7 +282,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 16, bits: bool = False, shard_bytes: int = 16 << 20, most_shards: int = 20_000) -> DataFrame:
     """Writes the shards and returns their table: shard, n_docs, n_ids and start, the ids in
     all shards before. shard_bytes: of text for one shard, about; more where there would be more
-    than most_shards."""
+    than most_shards, which bounds the table (a row for each shard comes to the driver)."""
     spark = docs.sparkSession
     short_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("body"))
@@ -290,9 +290,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
     n = min(most_shards, max(1, -(-total // shard_bytes)))
     tie = F.xxhash64("body")
     dealt = own.repartitionByRange(n, F.col("name"), tie).sortWithinPartitions("name", tie)
-    shards = written(dealt.mapInArrow(_writer(folder, tokenizer, end_id, block_ids, bits), "shard long, n_docs long, n_ids long"), "shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    rows = dealt.mapInArrow(_writer(folder, tokenizer, end_id, block_ids, bits), "shard long, n_docs long, n_ids long").collect()
+    table, start = [], 0
+    for r in sorted(rows):
+        table.append((*r, start))
+        start += r["n_ids"]
+    return spark.createDataFrame(table, "shard long, n_docs long, n_ids long, start long")
 
 
 def _reader(folder: str, digest: bool):
@@ -328,7 +331,9 @@ def _rows(rows: list[tuple], digest: bool) -> pa.RecordBatch:
 
 def read_shards(shards: DataFrame, folder: str, *, digest: bool = False) -> DataFrame:
     """The documents in the files: doc_id, start, n_tokens, and ids or, as a digest, their crc32."""
-    spread = shards.select("shard", "start").repartition(max(1, shards.count()), "shard")
+    spark = shards.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, shards.count() // 8)
+    spread = shards.select("shard", "start").repartition(tasks)
     return spread.mapInArrow(_reader(folder, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids array<long>'}")
 
 
