@@ -63,7 +63,7 @@ def test_structures():
     assert kinds("key " + RSA.hex()) == ["hex", "der"]
     ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1" + b"z" * 30).decode()
     assert kinds(ssh) == ["openssh"]
-    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(RSA).decode() + "\n-----END RSA PRIVATE KEY-----") == ["pem", "der"][: 1 + ("MC" in base64.b64encode(RSA).decode()[:2] and len(base64.b64encode(RSA)) >= 40)]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(RSA).decode() + "\n-----END RSA PRIVATE KEY-----") == ["pem", "der"]
     assert kinds("token: secret : abcdefghijklmnop") == []
 
 
