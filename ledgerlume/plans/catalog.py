@@ -325,7 +325,7 @@ def _log(tx: DataFrame) -> DataFrame:
 
 @over(fx.transfers)
 def pattern_event_log(tx):
-    return fx.flat(_log(tx)).groupBy("pattern_type", "window_id").agg(F.count("*").alias("n"), half_up(F.sum("pattern_strength"), 3).alias("strength"))
+    return fx.flat(_log(tx)).groupBy("pattern_type", "window_id").agg(F.count("*").alias("n"), half_up(F.sum("pattern_strength"), 4).alias("strength"))
 
 
 @over(fx.transfers)

@@ -46,7 +46,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph.node_activity(transfers(spark, sf_dir))
-    return n.select("account_id", ((F.col("unique_senders") * 37 + F.col("out_count")) % 101 / F.lit(101.0)).alias("score"))
+    return n.select("account_id", ((F.col("unique_senders") * 37 + F.col("out_count")) % 128 / F.lit(128.0)).alias("score"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ SELECT 'escalating_connectivity' AS pattern_type, max(window_id) AS window_id, N
 FROM isl WHERE d > 0 GROUP BY account_id, i HAVING count(*) >= 2 AND sum(d) >= 3
 """)
 cte("evlog", " UNION ALL ".join(f"SELECT {FLAT} FROM {p}" for p in ("p_fan_in", "p_fan_out", "p_rapid", "p_split_merge", "p_repeated", "p_layering")))
-sql("pattern_event_log", "SELECT pattern_type, window_id, count(*) AS n, round(sum(pattern_strength), 3) AS strength FROM evlog GROUP BY 1, 2")
+sql("pattern_event_log", "SELECT pattern_type, window_id, count(*) AS n, round(sum(pattern_strength), 4) AS strength FROM evlog GROUP BY 1, 2")
 sql("pattern_type_summary", "SELECT pattern_type, count(*) AS n, round(avg(pattern_strength), 6) AS mean_strength, count(DISTINCT central_account) AS n_central FROM evlog GROUP BY 1")
 cte("fans", f"SELECT {FLAT} FROM p_fan_in UNION ALL SELECT {FLAT} FROM p_fan_out")
 cte("inds", f"""
@@ -357,7 +357,7 @@ cte("cand", """
 SELECT central_account AS id, list_sort(list_distinct(flatten(list(string_split(accounts, ','))))) AS acc, list_sort(list_distinct(flatten(list(string_split(transaction_ids, ','))))) AS ids, list_sort(list_distinct(list(pattern_type))) AS pats,
   count(*) AS event_count, min(us) AS start_us, max(us) AS end_us, count(*)::DOUBLE / len(list_distinct(flatten(list(string_split(accounts, ','))))) AS density FROM fans GROUP BY 1
 """)
-cte("ascore", "SELECT coalesce(s.a, r.a) AS a, (coalesce(u, 0) * 37 + coalesce(o, 0)) % 101 / 101.0::DOUBLE AS score FROM (SELECT sender AS a, count(*) AS o FROM tx GROUP BY 1) s FULL JOIN (SELECT receiver AS a, count(DISTINCT sender) AS u FROM tx GROUP BY 1) r ON s.a = r.a")
+cte("ascore", "SELECT coalesce(s.a, r.a) AS a, (coalesce(u, 0) * 37 + coalesce(o, 0)) % 128 / 128.0::DOUBLE AS score FROM (SELECT sender AS a, count(*) AS o FROM tx GROUP BY 1) s FULL JOIN (SELECT receiver AS a, count(DISTINCT sender) AS u FROM tx GROUP BY 1) r ON s.a = r.a")
 cte("parts", """
 SELECT id, round(coalesce((SELECT 100 * avg(score) FROM ascore WHERE list_contains(acc, a)), 0.0), 2) AS behavioural, round(CASE WHEN count(*) OVER () < 2 THEN 50.0 ELSE 100.0::DOUBLE * (rank() OVER (ORDER BY density) - 1) / count(*) OVER () END, 2) AS network,
   round(least(100.0, 100.0::DOUBLE * len(pats) / 12.0::DOUBLE), 2) AS fund_flow, round(least(100.0, 35.0::DOUBLE * ln(1 + 3.0::DOUBLE * event_count / greatest(len(acc), 1))), 2) AS persistence, len(acc) AS n_accounts FROM cand
@@ -404,10 +404,10 @@ sql("metrics_no_positives", "SELECT NULL::DOUBLE AS precision, NULL::DOUBLE AS r
 # --- ground truth and lead time
 cte("gt", "SELECT ring_id AS tid, list_sort(list_distinct(flatten(list([sender, receiver])))) AS acc, min(us) AS g0, max(us) AS g1, count(*) AS n, count(DISTINCT transaction_id) AS n_ids FROM tx WHERE ring_id <> '' GROUP BY 1")
 sql("gt_alert_events", "SELECT tid AS alert_id, array_to_string(acc, ',') AS participants, n_ids::INT AS n_ids, g0 AS first_us, g1 AS last_us, tid AS alert_type, true AS is_sar, n AS n_transactions FROM gt")
-cte("both", "SELECT id, tid, len(list_intersect(c.acc, g.acc)) AS s, len(c.acc) AS cn, len(g.acc) AS gn, start_us AS c0, end_us AS c1, g0, g1 FROM cand c, gt g WHERE len(list_intersect(c.acc, g.acc)) > 0")
-sql("gt_match_overlap", "SELECT tid AS truth_id, id AS candidate_id, overlap FROM (SELECT tid FROM gt) LEFT JOIN (SELECT tid, id, round(s / gn, 6) AS overlap FROM both WHERE s / gn >= 0.01 QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, id) = 1) USING (tid)")
+cte("shares", "SELECT id, tid, len(list_intersect(c.acc, g.acc)) AS s, len(c.acc) AS cn, len(g.acc) AS gn, start_us AS c0, end_us AS c1, g0, g1 FROM cand c, gt g WHERE len(list_intersect(c.acc, g.acc)) > 0")
+sql("gt_match_overlap", "SELECT tid AS truth_id, id AS candidate_id, overlap FROM (SELECT tid FROM gt) LEFT JOIN (SELECT tid, id, round(s / gn, 6) AS overlap FROM shares WHERE s / gn >= 0.01 QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, id) = 1) USING (tid)")
 cte("ivp", f"""
-SELECT *, greatest(0, least(c1, g1) - greatest(c0, g0)) / {DAY}::DOUBLE AS od, greatest(0, -(least(c1, g1) - greatest(c0, g0))) / {DAY}::DOUBLE AS gd FROM both WHERE s >= 2
+SELECT *, greatest(0, least(c1, g1) - greatest(c0, g0)) / {DAY}::DOUBLE AS od, greatest(0, -(least(c1, g1) - greatest(c0, g0))) / {DAY}::DOUBLE AS gd FROM shares WHERE s >= 2
 """)
 cte("ivm", "SELECT *, CASE WHEN least(c1, g1) >= greatest(c0, g0) THEN 'STRONG' WHEN gd <= 10 THEN 'MODERATE' END AS mt, s / (gn + cn - s) AS j FROM ivp")
 sql("gt_match_interval", "SELECT id AS candidate_id, tid AS truth_id, s AS shared, c0, c1, g0, g1, round(od, 6) AS overlap_days, round(gd, 6) AS gap_days, round(s / gn, 6) AS recall, round(s / cn, 6) AS precision, round(j, 6) AS jaccard, mt AS match_type FROM ivm WHERE mt IS NOT NULL")
@@ -435,7 +435,7 @@ sql("diag_interval_status", """
 SELECT id AS candidate_id, coalesce(s, 0) AS shared, coalesce(t, 0)::BIGINT AS at_the_time, CASE WHEN t >= 3 THEN 'STRONG_TEMPORAL' WHEN t >= 2 THEN 'TEMPORAL' WHEN s >= 2 THEN 'ACCOUNT_NO_OVERLAP' WHEN s >= 1 THEN 'SINGLE' ELSE 'NO_MATCH' END AS status
 FROM cand LEFT JOIN (SELECT id, count(*) AS s, sum((least(end_us, hi) > greatest(start_us, lo))::INT) AS t FROM cand JOIN (SELECT a, min(us) AS lo, max(us) AS hi FROM known GROUP BY a) ON list_contains(acc, a) GROUP BY id) USING (id)
 """)
-cte("oh", f"SELECT *, greatest(0, least(c1, g1) - greatest(c0, g0)) / {HOUR}::DOUBLE AS o FROM both")
+cte("oh", f"SELECT *, greatest(0, least(c1, g1) - greatest(c0, g0)) / {HOUR}::DOUBLE AS o FROM shares")
 sql("diag_pair_status", f"""
 SELECT id AS candidate_id, tid AS truth_id, coalesce(s, 0) AS shared, round(o, 6) AS overlap_hours, CASE WHEN s >= 2 AND o > 0 THEN 'STRONG_MATCH' WHEN s >= 1 AND o > 0 THEN 'WEAK_MATCH' WHEN s >= 1 THEN 'ACCOUNT_ONLY' ELSE 'NO_MATCH' END AS status,
   coalesce(s >= 2 AND c0 < g0, false) AS early_warning, round((g0 - c0) / {DAY}::DOUBLE, 6) AS lead_days FROM (SELECT id FROM cand) LEFT JOIN (SELECT * FROM oh QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o DESC, tid) = 1) USING (id)
