@@ -327,7 +327,7 @@ cte("cycs(legs_, acc, deadline, done)", CYCLE.format(leg=LEG, limit=3 * DAY, sta
 for _n, _c in (("pattern_circular_flow", "cyc"), ("pattern_circular_scoped", "cycs")):
     sql(_n, f"""
 SELECT 'circular_flow' AS pattern_type, ((legs_[-1].us - t0) // {DAY})::INT AS window_id, legs_[1].us AS us, NULL::VARCHAR AS span, acc[1] AS central_account,
-  CASE WHEN acc[1] = acc[2] THEN acc[1] ELSE array_to_string(acc, ',') END AS accounts, array_to_string([x.id FOR x IN legs_], ',') AS transaction_ids, round(least(1.0, 1.0::DOUBLE / (len(acc) + 1) * 3), 4) AS pattern_strength
+  CASE WHEN acc[1] = acc[2] THEN array_to_string(acc[2:], ',') ELSE array_to_string(acc, ',') END AS accounts, array_to_string([x.id FOR x IN legs_], ',') AS transaction_ids, round(least(1.0, 1.0::DOUBLE / (len(acc) + 1) * 3), 4) AS pattern_strength
 FROM {_c} , ext WHERE done AND len(acc) <= 3
 """)
 cte("isl", "SELECT account_id, window_id, delta_connectivity AS d, sum((delta_connectivity <= 0)::INT) OVER (PARTITION BY account_id ORDER BY window_id) AS i FROM deltas")
