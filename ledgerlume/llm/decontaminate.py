@@ -26,7 +26,8 @@ from ledgerlume.llm.shared import short_batches, written
 
 import numpy as np
 
-RESULT = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+FOUND = ("__n_words", "__spans", "__item_ids")
+RESULT = "__n_words long, __spans array<struct<start:int,end:int>>, __item_ids array<string>"
 
 
 def _chosen(grams: np.ndarray, first: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -167,12 +168,12 @@ def _scanner(index_of, text_col: str, carried: list[str]):
                 n_words += np.diff(words.first).tolist()
                 spans += [_merged(x) for x, _ in own]
                 items += [sorted(x) for _, x in own]
-            if "spans" in batch.schema.names:
-                spans = [_merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(batch.column("spans").to_pylist(), spans, strict=True)]
-                items = [sorted({*old, *new}) for old, new in zip(batch.column("item_ids").to_pylist(), items, strict=True)]
+            if FOUND[1] in batch.schema.names:
+                spans = [_merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(batch.column(FOUND[1]).to_pylist(), spans, strict=True)]
+                items = [sorted({*old, *new}) for old, new in zip(batch.column(FOUND[2]).to_pylist(), items, strict=True)]
             pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
             found_columns = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pair)), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in carried] + found_columns, names=[*carried, "n_words", "spans", "item_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in carried] + found_columns, names=[*carried, *FOUND])
 
     return scan
 
@@ -180,23 +181,38 @@ def _scanner(index_of, text_col: str, carried: list[str]):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document row: its id, n_words, the merged spans of words that lie in a shared
     window, and the sorted ids of the items that have such a window."""
-    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    found = _matched(own, benchmark, "__text", ["__id"], item_col, item_text_col, window, gram, block_bytes)
+    return found.toDF(id_col, *(c[2:] for c in FOUND))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that share no window with an item. The rows
+    stream through the match, so nothing is joined or shuffled."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    found = _matched(docs.toDF(*names), benchmark, text, names, item_col, item_text_col, window, gram, block_bytes)
+    return found.where(F.size(FOUND[1]) == 0).select(*names).toDF(*docs.columns)
+
+
+def _matched(current: DataFrame, benchmark: DataFrame, text_col: str, wanted: list[str], item_col: str, item_text_col: str, window: int, gram: int, block_bytes: int) -> DataFrame:
+    """The wanted columns of current and those of FOUND."""
+    spark = current.sparkSession
     short_batches(spark)
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where(F.col("body").isNotNull())
     total = tests.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
-    current = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in current.schema.fields}
+    through = list(current.columns)
     for b in range(blocks):
-        rows = tests.where((block == b) & F.col("body").isNotNull()).collect() if blocks > 1 else tests.where(F.col("body").isNotNull()).collect()
+        rows = (tests.where(block == b) if blocks > 1 else tests).collect()
         index = spark.sparkContext.broadcast(build_index([(r["item"], r["body"]) for r in rows], window, gram))
-        carried = ["__id"] if b == blocks - 1 else ["__id", "__text"]
-        schema = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + RESULT
-        current = current.mapInArrow(_scanner(index, "__text", carried), schema)
+        carried = wanted if b == blocks - 1 else through
+        current = current.mapInArrow(_scanner(index, text_col, carried), ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + RESULT)
         if b < blocks - 1:
             current = written(current, "decontaminate")
-    return current.withColumnRenamed("__id", id_col)
+    return current
 
 
 def contaminated_digest(found: DataFrame) -> DataFrame:

@@ -61,5 +61,8 @@ def test_odd_rows_and_blocks(spark, frame, odd):
     for block in (1 << 20, 150):
         got = d.contaminated_digest(d.decontaminate(docs, bench, block_bytes=block))
         assert sorted(map(tuple, got.collect()), key=str) == want
+        kept = d.clean_documents(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(w[0]) for w in want if not w[5])
     assert d.decontaminate(docs.limit(0), bench).count() == 0
     assert not d.contaminated_digest(d.decontaminate(docs, bench.limit(0))).where("contaminated").count()
