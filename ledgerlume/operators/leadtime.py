@@ -57,6 +57,18 @@ def best_match(pairs: DataFrame, per: str = "truth_id") -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where("n = 1").drop("n")
 
 
+def best_candidate(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per truth the candidate best by shared accounts, recall, common transfers, overlap in
+    time, least gap and jaccard. Both tables have transaction_ids."""
+    pairs = interval_pairs(candidates, truth, 1, float("inf"))
+    c = candidates.select("candidate_id", F.explode(F.array_distinct("transaction_ids")).alias("t"))
+    g = truth.select("truth_id", F.explode(F.array_distinct("transaction_ids")).alias("t"))
+    exact = c.join(g, "t").groupBy("candidate_id", "truth_id").agg(F.count("*").alias("exact"))
+    full = pairs.join(exact, ["candidate_id", "truth_id"], "left").fillna(0, ["exact"])
+    order = [F.desc("shared"), F.desc("recall"), F.desc("exact"), F.desc("overlap_days"), F.asc("gap_days"), F.desc("jaccard"), F.asc("candidate_id")]
+    return full.withColumn("n", F.row_number().over(Window.partitionBy("truth_id").orderBy(*order))).where("n = 1").select("truth_id", "candidate_id", "shared", "exact", "recall")
+
+
 def cumulative_risk(events: DataFrame, fixed: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Risk of a candidate at each of its event windows, from events up to there.
 

@@ -498,6 +498,23 @@ def threshold_best(s):
     return rounded(metrics.best_threshold(metrics.sweep(s)))
 
 
+@over(fx.scored)
+def threshold_final(s):
+    """The threshold that is best on validation, on test."""
+    t = labels.chronological(s)
+    best = metrics.best_threshold(metrics.sweep(t.where("split = 'validation'"))).first()["threshold"]
+    return rounded(metrics.confusion(t.where("split = 'test'"), best).withColumn("threshold", F.lit(best)))
+
+
+@query
+def run_report(spark, sf_dir):
+    """The figures of a run: levels and mean score of candidates, events and strength by type."""
+    scores, kinds = _scores(spark, sf_dir), patterns.type_summary(fx.fans(spark, sf_dir))
+    a = scores.groupBy("risk_level").agg(F.count("*").alias("n"), F.avg("risk_score").alias("mean")).select(F.lit("level").alias("part"), F.col("risk_level").alias("name"), "n", "mean")
+    b = kinds.select(F.lit("pattern").alias("part"), F.col("pattern_type").alias("name"), "n", F.col("mean_strength").alias("mean"))
+    return rounded(a.unionByName(b), 4)
+
+
 def _model_table(spark, sf_dir):
     tx = fx.transfers(spark, sf_dir)
     table = labels.attach(fx.feature_table(spark, sf_dir), labels.forecast(tx))
@@ -545,7 +562,7 @@ def shapley_importance(spark, sf_dir):
 
 def _truth(spark, sf_dir):
     a = leadtime.alert_events(fx.transfers(spark, sf_dir))
-    return a.select(F.col("alert_id").alias("truth_id"), F.col("participants").alias("accounts"), F.col("first_us").alias("start_us"), F.col("last_us").alias("end_us"))
+    return a.select(F.col("alert_id").alias("truth_id"), F.col("participants").alias("accounts"), F.col("first_us").alias("start_us"), F.col("last_us").alias("end_us"), "transaction_ids")
 
 
 def _pairs(spark, sf_dir):
@@ -593,6 +610,24 @@ def _leads(spark, sf_dir):
     return leadtime.lead_times(match, leadtime.warning_window(_risk(spark, sf_dir), 30), observable)
 
 
+@over(fx.transfers)
+def gt_alert_accounts(tx):
+    own = ft.legs(tx.where("ring_id <> ''")).select(F.col("ring_id").alias("alert_id"), "account_id", micros("timestamp").alias("us"))
+    return leadtime.alert_ground_truth(own).select("alert_id", F.array_join("accounts", ",").alias("accounts"), "start_us", "observable_us", "n")
+
+
+@query
+def diag_best_candidate(spark, sf_dir):
+    return rounded(leadtime.best_candidate(fx.candidates(spark, sf_dir), _truth(spark, sf_dir)))
+
+
+@query
+def lead_completion(spark, sf_dir):
+    leads = _leads(spark, sf_dir)
+    last = leads.select("truth_id", (F.col("observable_window") + 1).alias("last_window"))
+    return leadtime.completion_leads(leads, last).select("truth_id", "completion_lead")
+
+
 @query
 def cumulative_risk(spark, sf_dir):
     return _risk(spark, sf_dir)

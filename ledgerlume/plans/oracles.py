@@ -396,6 +396,10 @@ cte("sweep", f"SELECT threshold, tp, fp, tn, fn, {RATES} FROM thr")
 sql("metrics_confusion", "SELECT tp, fp, tn, fn, precision, recall, f1, false_warning_rate FROM sweep WHERE threshold = 0.5")
 sql("threshold_sweep", "SELECT * FROM sweep")
 sql("threshold_best", "SELECT * FROM sweep ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC LIMIT 1")
+cte("parted", "SELECT window_id, CASE WHEN r < floor(n * 0.6) THEN 'train' WHEN r < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT window_id FROM lab))")
+COUNTS = "count(*) FILTER (WHERE score >= t AND y = 1) AS tp, count(*) FILTER (WHERE score >= t AND y = 0) AS fp, count(*) FILTER (WHERE score < t AND y = 0) AS tn, count(*) FILTER (WHERE score < t AND y = 1) AS fn"
+cte("chosen", f"SELECT threshold AS t FROM (SELECT threshold, {RATES} FROM (SELECT t AS threshold, {COUNTS} FROM sc JOIN parted USING (window_id), (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS t) WHERE split = 'validation' GROUP BY t)) ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC LIMIT 1")
+sql("threshold_final", f"SELECT threshold, tp, fp, tn, fn, {RATES} FROM (SELECT t AS threshold, {COUNTS} FROM sc JOIN parted USING (window_id), chosen WHERE split = 'test' GROUP BY t)")
 sql("metrics_roc_auc", "SELECT round((sum(CASE WHEN y = 1 THEN r END) - p * (p + 1) / 2.0) / (p * n), 9) AS roc_auc FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r, sum(y) OVER () AS p, count(*) OVER () - sum(y) OVER () AS n FROM sc) GROUP BY p, n")
 sql("metrics_avg_precision", "SELECT round(sum(p * tp / al) / max(tp), 9) AS pr_auc FROM (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(m) OVER (ORDER BY score DESC) AS al FROM (SELECT score, sum(y) AS p, count(*) AS m FROM sc GROUP BY score))")
 sql("metrics_topk", "SELECT k::INT AS k, round(avg(y), 6) AS precision_at_k FROM (SELECT y, row_number() OVER (ORDER BY score DESC, window_id, account_id) AS r FROM sc), (SELECT unnest([10, 20, 50]) AS k) WHERE r <= k GROUP BY k")
@@ -415,6 +419,10 @@ BEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY mt = 'STRONG' DESC,
 cte("bm", f"SELECT * FROM ivm WHERE mt IS NOT NULL {BEST.format('tid')}")
 sql("gt_best_match", "SELECT tid AS truth_id, id AS candidate_id, mt AS match_type, s AS shared FROM bm")
 sql("gt_best_truth", f"SELECT id AS candidate_id, tid AS truth_id, mt AS match_type, s AS shared FROM ivm WHERE mt IS NOT NULL {BEST.format('id')}")
+sql("gt_alert_accounts", "SELECT ring_id AS alert_id, string_agg(DISTINCT a, ',' ORDER BY a) AS accounts, min(us) AS start_us, max(us) AS observable_us, count(*) AS n FROM (SELECT ring_id, us, unnest([sender, receiver]) AS a FROM tx WHERE ring_id <> '') GROUP BY 1")
+cte("gids", "SELECT ring_id AS tid, list(DISTINCT transaction_id) AS gids FROM tx WHERE ring_id <> '' GROUP BY 1")
+cte("exacts", f"SELECT s.*, len(list_intersect(c.ids, g.gids)) AS x, greatest(0, least(c1, g1) - greatest(c0, g0)) / {DAY}::DOUBLE AS od, greatest(0, -(least(c1, g1) - greatest(c0, g0))) / {DAY}::DOUBLE AS gd FROM shares s JOIN cand c USING (id) JOIN gids g USING (tid)")
+sql("diag_best_candidate", "SELECT tid AS truth_id, id AS candidate_id, s AS shared, x AS exact, round(s / gn, 6) AS recall FROM exacts QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, s / gn DESC, x DESC, od DESC, gd, s / (gn + cn - s) DESC, id) = 1")
 cte("cr0", "SELECT central_account AS id, window_id, count(*) AS n, sum(first::INT) AS new FROM (SELECT *, row_number() OVER (PARTITION BY central_account, pattern_type ORDER BY window_id) = 1 AS first FROM fans) GROUP BY 1, 2")
 cte("cr", """
 SELECT id, window_id, round(behavioural * 0.35::DOUBLE + network * 0.2::DOUBLE + round(least(100.0, 100.0::DOUBLE * f / 12.0::DOUBLE), 2) * 0.25::DOUBLE + round(least(100.0, 35.0::DOUBLE * ln(1 + 3.0::DOUBLE * n / greatest(n_accounts, 1))), 2) * 0.2::DOUBLE, 2) AS risk
@@ -429,6 +437,7 @@ sql("lead_time_summary", """
 SELECT count(*) AS n_truth, count(id) AS n_matched, count(ww) AS n_alerted, count(*) FILTER (WHERE ow >= ww) AS n_early, round(avg(ow - ww), 6) AS mean_lead, round(median(ow - ww), 6) AS median_lead, min(ow - ww) AS min_lead, max(ow - ww) AS max_lead,
   round(CASE WHEN count(ow - ww) > 1 THEN stddev_pop(ow - ww) END, 6) AS std_lead, round(CASE WHEN count(ww) > 0 THEN count(*) FILTER (WHERE ow >= ww) / count(ww) END, 6) AS early_rate, round(count(ww) / count(*), 6) AS detection_rate, 0.6::DOUBLE AS false_warning_rate FROM lt
 """)
+sql("lead_completion", "SELECT tid AS truth_id, ow + 1 - ww AS completion_lead FROM lt")
 cte("known", "SELECT unnest([sender, receiver]) AS a, us FROM tx WHERE label = 1 AND ring_id = 'R1'")
 sql("diag_account_overlap", "SELECT k::INT AS min_shared, (SELECT count(*) FROM cand WHERE len(list_intersect(acc, (SELECT list(DISTINCT a) FROM known))) >= k) AS n_candidates FROM (SELECT unnest([1, 2, 3, 5, 10]) AS k)")
 sql("diag_interval_status", """
@@ -441,6 +450,8 @@ SELECT id AS candidate_id, tid AS truth_id, coalesce(s, 0) AS shared, round(o, 6
   coalesce(s >= 2 AND c0 < g0, false) AS early_warning, round((g0 - c0) / {DAY}::DOUBLE, 6) AS lead_days FROM (SELECT id FROM cand) LEFT JOIN (SELECT * FROM oh QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o DESC, tid) = 1) USING (id)
 """)
 
+sql("run_report", "SELECT 'level' AS part, risk_level AS name, count(*) AS n, round(avg(risk_score), 4) AS mean FROM risks GROUP BY 2 UNION ALL SELECT 'pattern', pattern_type, count(*), round(round(avg(pattern_strength), 6), 4) FROM fans GROUP BY 2")
+
 # --- serving
 sql("api_summary", "SELECT (SELECT count(*) FROM tx) AS n_transactions, (SELECT count(*) FROM fans) AS n_events, (SELECT count(*) FROM cand) AS n_candidates, count(*) AS n_scores, " + ", ".join(f"count(*) FILTER (WHERE risk_level = '{x}') AS n_{x.lower()}" for x in ("LOW", "MODERATE", "HIGH", "CRITICAL")) + ", round(avg(risk_score), 2) AS avg_risk FROM risks")
 sql("api_alerts", "SELECT id AS candidate_ring_id, n_accounts, risk_score, risk_level FROM risks WHERE risk_level = 'MODERATE' ORDER BY risk_score DESC, id LIMIT 20 OFFSET 5")
