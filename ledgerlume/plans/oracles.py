@@ -454,7 +454,7 @@ sql("run_report", "SELECT 'level' AS part, risk_level AS name, count(*) AS n, ro
 
 # --- serving
 sql("api_summary", "SELECT (SELECT count(*) FROM tx) AS n_transactions, (SELECT count(*) FROM fans) AS n_events, (SELECT count(*) FROM cand) AS n_candidates, count(*) AS n_scores, " + ", ".join(f"count(*) FILTER (WHERE risk_level = '{x}') AS n_{x.lower()}" for x in ("LOW", "MODERATE", "HIGH", "CRITICAL")) + ", round(avg(risk_score), 2) AS avg_risk FROM risks")
-sql("api_alerts", "SELECT id AS candidate_ring_id, n_accounts, risk_score, risk_level FROM risks WHERE risk_level = 'MODERATE' ORDER BY risk_score DESC, id LIMIT 20 OFFSET 5")
+sql("api_alerts", "SELECT id AS candidate_ring_id, n_accounts::INT AS n_accounts, risk_score, risk_level FROM risks WHERE risk_level = 'MODERATE' ORDER BY risk_score DESC, id LIMIT 20 OFFSET 5")
 sql("api_rings", "SELECT id AS candidate_ring_id, CASE WHEN risk_score > 45 THEN risk_score END AS risk_score, CASE WHEN risk_score > 45 THEN risk_level END AS risk_level, CASE WHEN risk_score > 45 THEN NULL ELSE 'Not yet evaluated' END AS note FROM risks ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1000")
 sql("api_ring_patterns", f"SELECT {FLAT} FROM fans WHERE list_has_any(string_split(accounts, ','), (SELECT acc FROM cand WHERE id = 'A1')) ORDER BY window_id, us, pattern_type, central_account LIMIT 50")
 sql("api_account", "SELECT 'A1' AS account_id, count(*) FILTER (WHERE receiver = 'A1') AS n_in, count(*) FILTER (WHERE sender = 'A1') AS n_out, (SELECT coalesce(string_agg(id, ',' ORDER BY id), '') FROM cand WHERE list_contains(acc, 'A1')) AS candidates FROM tx")
