@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlume.operators import features as ft
 from ledgerlume.operators import metrics
+from ledgerlume.operators.graph import can_checkpoint
 
 FEATURE_SETS = {
     "A": ft.TRANSACTION, "B": ft.NETWORK, "C": (*ft.TRANSACTION, *ft.NETWORK), "D": (*ft.TRANSACTION, *ft.NETWORK, *ft.TEMPORAL),
@@ -177,28 +178,41 @@ class Isolation:
         return raw.crossJoin(F.broadcast(ends)).withColumn("score", scale).drop("raw", "lo", "hi")  # one row
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df written once; fitting and each metric read it again and again."""
+    can_checkpoint(df.sparkSession)
+    return df.checkpoint()
+
+
+def _measured(model, train: DataFrame, test: DataFrame) -> DataFrame:
+    return metrics.evaluate(_held(model.fit(train).predict(test).select(*ft.KEYS, "y", "score")), 0.5, (10,), *ft.KEYS)
+
+
 def compare(table: DataFrame, models: dict[str, object]) -> DataFrame:
     """Fits on split train, evaluates on test: a row for each model."""
+    table = _held(table)
     train, test = table.where("split = 'train'"), table.where("split = 'test'")
     out = None
     for name, m in models.items():
-        row = metrics.evaluate(m.fit(train).predict(test), 0.5, (10,), *ft.KEYS).withColumn("model", F.lit(name))
+        row = _measured(m, train, test).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def class_weight_experiment(table: DataFrame, make, weights: Iterable[float] = CLASS_WEIGHTS) -> DataFrame:
     """A row for each multiplier, on split validation; the best first."""
+    table = _held(table)
     train, held = table.where("split = 'train'"), table.where("split = 'validation'")
     out = None
     for w in weights:
-        row = metrics.evaluate(make(w).fit(train).predict(held), 0.5, (10,), *ft.KEYS).withColumn("multiplier", F.lit(float(w)))
+        row = _measured(make(w), train, held).withColumn("multiplier", F.lit(float(w)))
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc_nulls_last("pr_auc"), F.desc_nulls_last("f1"), F.desc_nulls_last("precision"))
 
 
 def ablation(table: DataFrame, make, sets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """A row for each feature set; one that can't be fitted has a note and no figures."""
+    table = _held(table)
     train, test = table.where("split = 'train'"), table.where("split = 'test'")
     pos, neg = class_sizes(train)
     rows = []
@@ -207,7 +221,7 @@ def ablation(table: DataFrame, make, sets: dict[str, tuple[str, ...]] | None = N
         if not pos or not neg or not there:
             rows.append((name, len(there), None, None, "skipped: both classes and a feature are needed"))
             continue
-        r = metrics.evaluate(make(there).fit(train).predict(test), 0.5, (10,), *ft.KEYS).first()
+        r = _measured(make(there), train, test).first()
         rows.append((name, len(there), r["pr_auc"], r["roc_auc"], r["note"]))
     return table.sparkSession.createDataFrame(rows, "config string, n_features int, pr_auc double, roc_auc double, note string")
 
