@@ -156,6 +156,26 @@ def test_mix(spark, frame):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 == mixing.mixed_documents(docs.limit(0)).count()
 
 
+def test_small_sources_neither_stop_the_mix_nor_leave_their_share(spark, frame):
+    for few in (60, 300):
+        counts = {f"l{i}": 40_000 for i in range(6)} | {f"s{i}": 40 for i in range(few)}
+        assert mixing.mix_counts(counts, counts, 0.05) == counts
+        blocks = {s: n // 8 for s, n in counts.items()}
+        order, placed, total = mixing.schedule(blocks, counts), Counter(), sum(counts.values())
+        assert Counter(order) == blocks
+        for t, s in enumerate(order, 1):
+            placed[s] += 1
+            assert abs(placed[s] * total - t * counts[s]) < total
+    many = {f"s{i}": 1 + 99 * (i < 10) for i in range(1500)}
+    assert mixing.whole_weights(many) == many  # from 1,000 sources on all weights were one
+    docs = frame([(i, f"t{i}", "big" if i < 900 else f"s{i % 40}") for i in range(980)])
+    for runs in (1 << 17, 20):
+        got = mixing.mix_sources(docs, lambda counts: counts, max_runs=runs).toPandas()
+        assert got.in_mix.all() and len(got) == 980 and sorted(got.slot.unique()) == list(range(got.slot.nunique()))
+        assert got.groupby(["slot", "place"]).size().max() == 1 == got.groupby("slot").source.nunique().max()
+    assert mixing.mixed_documents(docs, lambda counts: counts).count() == 980
+
+
 def test_sql_of_the_queries(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
