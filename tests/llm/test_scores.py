@@ -176,6 +176,14 @@ def test_small_sources_neither_stop_the_mix_nor_leave_their_share(spark, frame):
     assert mixing.mixed_documents(docs, lambda counts: counts).count() == 980
 
 
+def test_the_default_mix_holds_every_document(spark, frame):
+    docs = frame([(i, f"t{i}", "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(1200)])
+    assert mixing.mixed_documents(docs).count() == 1200 == mixing.mix_sources(docs).where("in_mix").count()
+    assert mixing.left_out(docs) == {}
+    lost = mixing.left_out(docs, mixing.quarter)
+    assert lost["hot"] > 100 and mixing.mixed_documents(docs, mixing.quarter).count() >= 1200 - sum(lost.values())
+
+
 def test_sql_of_the_queries(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
