@@ -208,6 +208,46 @@ def ring_cycles(tx):
     return graph.ring_cycles(tx, 4)
 
 
+# The same over all transfers with the operators' defaults; no SQL, as it is too slow for some.
+
+
+@over(fx.transfers)
+def graph_stats_all(tx):
+    return rounded(graph.stats(tx))
+
+
+@over(fx.transfers)
+def khop_neighborhood_all(tx):
+    start = tx.agg(F.min("sender")).first()[0]
+    return graph.k_hop(tx, start or "", 3, "both")
+
+
+@over(fx.transfers)
+def simple_paths_all(tx):
+    ends = tx.agg(F.min("sender"), F.max("receiver")).first()
+    return graph.simple_paths(tx, ends[0] or "", ends[1] or "").select(F.array_join("path", ",").alias("path"), "length")
+
+
+@over(fx.transfers)
+def simple_cycles_all(tx):
+    return graph.simple_cycles(tx).select(F.array_join("cycle", ",").alias("cycle"), "length")
+
+
+@over(fx.transfers)
+def wcc_components_all(tx):
+    return graph.weak_components(tx)
+
+
+@over(fx.transfers)
+def scc_components_all(tx):
+    return graph.strong_components(tx)
+
+
+@over(fx.transfers)
+def ring_cycles_all(tx):
+    return graph.ring_cycles(tx)
+
+
 # --- features
 
 
@@ -359,6 +399,12 @@ def event_components(spark, sf_dir):
     return episodes.event_components(e, 3, 1).groupBy("component").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_components"))
 
 
+@query
+def event_components_all(spark, sf_dir):
+    e = fx.fans(spark, sf_dir)
+    return episodes.event_components(e).groupBy("component").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_components"))
+
+
 def _trajectories(spark, sf_dir):
     tx = fx.transfers(spark, sf_dir)
     events = fx.fans(spark, sf_dir).unionByName(patterns.layering(tx)).unionByName(patterns.repeated_intermediary(tx)).unionByName(patterns.split_merge(tx))
