@@ -38,3 +38,32 @@ def test_rules_of_the_query(spark):
     pages = spark.createDataFrame([(1, "http://X.Example.NET/en/a"), (2, "http://example.net/de/"), (3, "http://a.org/fr/x"), (4, "http://examplexnet/en/"), (5, "http://m.example.com/de/1")], "page_id long, url string")
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     assert [(r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, rules).orderBy("page_id").collect()] == [("example.net/en/", "allow"), ("net/", "block"), ("org/fr/", "allow"), (None, "allow"), ("example.com/de/", "block")]
+
+
+def _both(spark, urls, rules, **more):
+    pages = spark.createDataFrame([(i, u) for i, u in urls], "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = sorted(map(str, [(i, *brute(u, rules)) for i, u in urls]))
+    for few in (1000, 0):
+        got = urlfilter.judge_urls(pages, table, map_rules=few, **more).collect()
+        assert sorted(map(str, map(tuple, got))) == want
+
+
+def test_ids_are_exact_beside_nulls_in_ranges_without_urls(spark):
+    rules = [("z.net", "/", "block"), ("a.org", "/x", "allow"), ("m.com", "/", "block")]
+    big = 1 << 53
+    for ids in ((big + 1, big + 3, None), (None, None), (big + 1,), (-big - 1, None, 2**63 - 1)):
+        _both(spark, [(i, "http://a.org/x") for i in ids], rules, range_rows=1)
+    _both(spark, [], rules, range_rows=1)
+    _both(spark, [(1, None), (None, "http://z.net/")], rules, range_rows=1)
+
+
+def test_many_rules_of_one_range(spark):
+    r = random.Random(5)
+    rules = [(f"h{r.randrange(400)}.hot.net", f"/p{i % 50}", r.choice(["allow", "block"])) for i in range(3000)] + [("net", "/", "block"), ("hot.net", "/p", "allow")]
+    _both(spark, [(i, f"http://h{r.randrange(500)}.hot.net/p{r.randrange(60)}/q") for i in range(200)] + [(i, "http://h7.hot.net/p1") for i in range(300)], rules, range_rows=100)
+
+
+def test_rules_too_long_for_a_broadcast_are_swept_by_range(spark):
+    rules = [("a.net", "/" + "y" * 300, "block"), ("a.net", "/", "allow")]
+    _both(spark, [(1, "http://b.a.net/" + "y" * 301), (2, "http://a.net/q")], rules, map_bytes=100)
