@@ -41,8 +41,11 @@ from ledgerlume.llm.shared import new_folder, short_batches
 
 MAGIC = b"LLPLANE1"
 TAIL = "<5Q3I"
-#: Pieces of a generation whose ids a worker remembers, about.
+#: Pieces of a generation whose ids a worker remembers, and what their texts and ids may take.
 REMEMBERED = 200_000
+REMEMBERED_BYTES = 24 << 20
+#: A longer piece is text without spaces; it does not come again and is not remembered.
+LONG_PIECE = 48
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -164,8 +167,8 @@ class Encoder:
 
     Neither the normaliser nor the splitter of the tokenizers this is meant for looks across a
     space or line feed, and both drop them, so a text's ids are those of its pieces, one after
-    the other. Pieces met before are remembered in two generations, so that frequent ones
-    stay. Of new pieces, plain letters (and a full stop or comma after them) go to the
+    the other. Pieces met before are remembered in two generations of bounded bytes, so that
+    frequent ones stay; long pieces live for their batch alone. Of new pieces, plain letters (and a full stop or comma after them) go to the
     tokenizer's model in lower case, which is all the other steps do to them; the rest are
     encoded together, a mark of their own between them. Probes confirm that the tokenizer is of
     this kind; if it isn't, whole texts are encoded.
@@ -183,6 +186,7 @@ class Encoder:
         self.close = b"" if end_id is None else struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.spelt = str.maketrans(byte_letters())
         own = self._ids(self.MARK)
         self.mark = int(own[0]) if len(own) == 1 else None
@@ -234,12 +238,19 @@ class Encoder:
             yield from (self._ids(x).tobytes() + self.close for x in texts)
             return
         pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        self._learn(set().union(*pieces) - self.known.keys())
-        find = self.known.__getitem__
-        for own in pieces:
-            yield b"".join(map(find, own)) + self.close
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
+        missing = set().union(*pieces) - self.known.keys()
+        self._learn(missing)
+        find, long = self.known.__getitem__, [x for x in missing if len(x) > LONG_PIECE]
+        try:
+            for own in pieces:
+                yield b"".join(map(find, own)) + self.close
+        finally:
+            for x in long:
+                del self.known[x]
+            # an entry is two objects and a place in the table, 160 bytes besides text and ids
+            self.held += sum(160 + len(x) + len(self.known[x]) for x in missing if len(x) <= LONG_PIECE)
+            if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+                self.older, self.known, self.held = self.known, {"": b""}, 0
 
 
 def encoder(path: str, end_id: int | None) -> Encoder:

@@ -79,3 +79,16 @@ def test_files_against_plain_encoding(spark, frame, odd):
     whole = tokenfiles.read_shards(shards, folder).where("doc_id = 2").first()
     assert whole["ids"] == [1]
     assert tokenfiles.token_digest(spark, docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_the_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "REMEMBERED_BYTES", 200_000)
+    e, plain = tokenfiles.Encoder(queries.tokenizer_path(), 1), tokenfiles.Encoder(queries.tokenizer_path(), 1)
+    r = random.Random(6)
+    unspaced = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(900)) for _ in range(60)] + ["".join(r.choice("abcXYZ019+/") for _ in range(3000)) for _ in range(60)]
+    texts = [f"say {x} v{i} {'w' * (i % 60)}" for i, x in enumerate(unspaced)] + [" ".join(f"n{i}x{k}" for k in range(40)) for i in range(60)]
+    for i in range(0, len(texts), 20):
+        assert list(e(texts[i : i + 20])) == [plain._ids(t).tobytes() + plain.close for t in texts[i : i + 20]]
+        own = [x for g in (e.known, e.older) for x in g]
+        assert max(map(len, own)) <= tokenfiles.LONG_PIECE
+        assert sum(160 + len(x) for x in own) < 3 * 200_000
