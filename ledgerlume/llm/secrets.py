@@ -2,15 +2,19 @@
 
 Base patterns find assignments, access keys and hexadecimal runs. Beyond them, candidates are
 decoded and reported only if what they hold has the structure of a secret: base64 or
-hexadecimal that is a DER key (nested tags and lengths that add up exactly and hold two
-integers or an octet string with an identifier), an armoured private key, an OpenSSH key
-(magic and nested length-prefixed strings), and signed tokens whose first part is a JSON object
-with an algorithm.
+hexadecimal (of either case) that is a private key in DER, an armoured private key, an OpenSSH
+key (magic and nested length-prefixed strings), and signed tokens whose first part is a JSON
+object with an algorithm. A key may start inside a run of base64: its own length must then
+end it with the run. DER lengths must add up exactly, inside as well, and the values be those
+of PKCS#8 (plain or encrypted), SEC1, or a version and integers only, as PKCS#1 has; public
+keys, certificates and signatures have other shapes. An armour may hold header lines and
+line ends spelt as backslash n; the content of a legacy encrypted one is a cipher's blocks.
 
 Plan: one narrow pass over the texts in Arrow batches; nothing is shuffled or gathered.
 
 Defined results: a null text is empty and has no spans. Repeated rows each give a row. Spans of
-one kind don't overlap; spans of different kinds may. Empty tables give no rows. Other
+one kind don't overlap; spans of different kinds may. An OpenSSH key that is cut off behind its
+number of keys is reported; one whose strings are whole must end with the last of them. Empty tables give no rows. Other
 columns are not looked at.
 """
 
@@ -21,6 +25,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +42,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run of 18 or more; a shorter one
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[\r\n]|\\[nr])*+(?:[A-Za-z-]++: [^\r\n\\]*+(?:[\r\n]|\\[nr])++)*+)((?:[A-Za-z0-9+/=\s]|\\[nr])++)-----END \1-----", re.ASCII)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+HEXADECIMAL = re.compile(r"[0-9A-Fa-f]{48,}")
+#: How the first bytes of a DER sequence and of an OpenSSH key look in base64.
+KEY_STARTS = re.compile(r"M[B-I]|b3BlbnNzaC1rZXktdjEA")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 OPENSSH = b"openssh-key-v1\x00"
 
@@ -86,26 +94,99 @@ def der_tags(data: bytes, depth: int = 0) -> list[int] | None:
     return tags
 
 
+def der_values(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of a run of DER values whose lengths are known to add up."""
+    out, at = [], 0
+    while at < len(data):
+        tag, n = data[at], data[at + 1]
+        at += 2
+        if n & 0x80:
+            wide = n & 0x7F
+            n = int.from_bytes(data[at : at + wide], "big")
+            at += wide
+        out.append((tag, data[at : at + n]))
+        at += n
+    return out
+
+
+# The tags of DER that private keys are made of.
+INTEGER, BITS, OCTETS, IDENTIFIER, SEQUENCE, FIRST, SECOND = 0x02, 0x03, 0x04, 0x06, 0x30, 0xA0, 0xA1
+
+
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE over all bytes that begins with a version and holds two integers or more,
-    or an identifier and an octet or bit string."""
-    if len(data) < 24 or data[0] != 0x30:
+    """One SEQUENCE over all bytes, and a private key by the values in it."""
+    if len(data) < 24 or data[0] != SEQUENCE or not der_tags(data):
+        return False
+    whole = der_values(data)
+    if len(whole) != 1:
         return False
-    tags = der_tags(data)
-    if not tags or tags[0] != 0x30 or len(tags) < 3:
+    inner = der_values(whole[0][1])
+    tags = [t for t, _ in inner]
+    algorithm = lambda v: [t for t, _ in der_values(v)][:1] == [IDENTIFIER]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8
+        return algorithm(inner[0][1]) and len(inner[1][1]) >= 8
+    if not inner or inner[0] not in ((INTEGER, b"\0"), (INTEGER, b"\1")):
         return False
-    return (tags.count(0x02) >= 3) or (0x06 in tags and (0x04 in tags or 0x03 in tags))
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8
+        return algorithm(inner[1][1]) and bool(der_tags(inner[2][1])) and set(tags[3:]) <= {FIRST, 0x81, SECOND}
+    if tags[1:2] == [OCTETS]:  # SEC1
+        return inner[0][1] == b"\1" and len(inner[1][1]) >= 16 and tags[2:] in ([], [FIRST], [SECOND], [FIRST, SECOND])
+    return len(tags) >= 4 and set(tags) == {INTEGER}
 
 
 def is_openssh_key(data: bytes) -> bool:
     if not data.startswith(OPENSSH):
         return False
     at = len(OPENSSH)
-    for _ in range(3):  # cipher, key derivation, its options
+
+    def string() -> bytes | None:
+        nonlocal at
         if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+            return None
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    if any(string() is None for _ in range(3)):  # cipher, key derivation, its options
+        return False
+    n = int.from_bytes(data[at : at + 4], "big")
+    if at + 4 > len(data) or not 1 <= n <= 16:
+        return False
+    at += 4
+    for _ in range(n + 1):  # the public keys, then the private part
+        if string() is None:
+            return True  # cut off
+    return at == len(data)
+
+
+def keys_in(run: str) -> Iterator[tuple[int, str]]:
+    """(place, kind) of the key that a run of base64 ends with."""
+    size = len(run.rstrip("="))
+    for m in KEY_STARTS.finditer(run):
+        at = m.start()
+        if m[0][0] == "b":
+            if (raw := decoded(run[at:])) and is_openssh_key(raw):
+                yield at, "openssh"
+                return
+            continue
+        head = decoded(run[at : at + 8].rstrip("="))
+        if head is None or len(head) < 6 or (size - at) % 4 == 1:
+            continue
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        if wide > 4 or 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1]) != (size - at) * 6 // 8:
+            continue
+        if (raw := decoded(run[at:])) and is_der_key(raw):
+            yield at, "der"
+            return
+
+
+def is_armoured(headers: str, body: str) -> bool:
+    raw = decoded(re.sub(r"\s+|\\[nr]", "", body))
+    if not raw:
+        return False
+    return is_der_key(raw) or is_openssh_key(raw) or ("ENCRYPTED" in headers and len(raw) % 8 == 0)
 
 
 def is_token_header(text: str) -> bool:
@@ -124,21 +205,12 @@ def find_secrets(text: str | None) -> list[tuple[int, str, int]]:
     text = text or ""
     found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
-    for m in HEX.finditer(text):
-        found.append((m.start(), "hex", m.end()))
-        if len(m[0]) % 2 == 0 and len(m[0]) >= 48 and m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), "der", m.end()))
+    found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
+    found += [(m.start(), "der", m.end()) for m in HEXADECIMAL.finditer(text) if len(m[0]) % 2 == 0 and m[0].startswith("30") and is_der_key(bytes.fromhex(m[0]))]
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = decoded(re.sub(r"\s+", "", m[2]))
-            if raw and (is_der_key(raw) or is_openssh_key(raw)):
-                found.append((m.start(), "pem", m.end()))
+        found += [(m.start(), "pem", m.end()) for m in PEM.finditer(text) if is_armoured(m[2], m[3])]
     for m in BASE64.finditer(text):
-        if m[0].startswith(("MH", "MI", "MC", "MD", "MF", "MG", "ME", "MA", "MB", "b3B")) and (raw := decoded(m[0])):
-            if is_openssh_key(raw):
-                found.append((m.start(), "openssh", m.end()))
-            elif is_der_key(raw):
-                found.append((m.start(), "der", m.end()))
+        found += [(m.start() + at, kind, m.end()) for at, kind in keys_in(m[0])]
     found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token_header(m[1])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
