@@ -61,3 +61,18 @@ def short_batches(spark: SparkSession) -> None:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, however often a lambda inside body refers to it."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, hot: int, most: int = 10_000) -> DataFrame:
+    """left joined with right, which has one row for each key and in `n` how many of the
+    `total` rows of left hold it; n is not in the result.
+
+    A key of more than max(hot, total / most) rows is one of fewer than `most`, so those are
+    broadcast and their rows stay where they are; only the other keys are shuffled.
+    """
+    limit = max(hot, total // most)
+    heavy = right.where(F.col("n") > limit).drop("n")
+    if not heavy.limit(1).count():
+        return left.join(right.drop("n"), key)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key)
+    return light.unionByName(left.join(F.broadcast(heavy), key))

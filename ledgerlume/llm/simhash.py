@@ -12,23 +12,31 @@ fingerprints become one row before anything is replicated, so copies cost nothin
 fingerprints are linked by a search that looks only at those not reached yet and yields a
 spanning forest: as many links as fingerprints at most, never all pairs. An anchor with more
 than `hot` fingerprints is not gathered: its rows are dealt again by the bytes of the other
-half, of which one must be equal. Components come from rounds of links to the smallest
-neighbour, each written to the shared folder; nothing is collected on the driver.
+half, of which one must be equal, and the search of a large group goes by 16-bit blocks, of
+which one must be equal too. Components come from rounds of links to the smallest neighbour,
+each written to the shared folder; nothing is collected on the driver. Where a fingerprint,
+a node or a component has more than `hub` rows of a join, its one answer is broadcast (there
+are few such) and its rows stay where they are.
 
 Defined results: a text without words, empty or null has fingerprint zero and links like any
-other. Repeated rows each give a row. Null ids take part; a component's id is its smallest
-non-null id. Empty tables give no rows. Other columns are not looked at.
+other. Ids are cast to long. Repeated rows each give a row. Null ids take part; a component's id
+is its smallest non-null id. Of each component `first_of_groups` keeps the row of the smallest
+id, null last, then of the smallest hash of the text; of rows equal in id and text the least in
+its other columns, which must have an order. Empty tables give no rows. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlume.llm.shared import short_batches, written
+from ledgerlume.llm.shared import join_hot, short_batches, written
 
 SEED = 42
 THRESHOLD = 3
@@ -55,8 +63,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def _fingerprinter(shingle: int):
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["id", "key", "fp"])
 
     return run
 
@@ -112,6 +120,22 @@ def forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return links
 
 
+def linked_pairs(fps: np.ndarray, threshold: int, many: int = 8192) -> Iterator[np.ndarray]:
+    """Arrays of (a, b), indices into distinct fps, that connect what is linked. Of many
+    fingerprints only those equal in one of threshold + 1 blocks of bits are compared."""
+    if len(fps) <= many:
+        yield np.array(forest(fps, threshold), np.int64).reshape(-1, 2)
+        return
+    edges = [64 * i // (threshold + 1) for i in range(threshold + 2)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        block = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(block, kind="stable")
+        heads = np.flatnonzero(np.diff(block[order], prepend=~block[order[0]]))
+        for group in np.split(order, heads[1:]):
+            if len(group) > 1:
+                yield group[np.array(forest(fps[group], threshold), np.int64).reshape(-1, 2)]
+
+
 def _linker(threshold: int, hot: int, split: bool):
     """Over rows sorted by (anchor, sub): links, and the rows of hot anchors to be dealt again."""
 
@@ -125,10 +149,10 @@ def _linker(threshold: int, hot: int, split: bool):
 
     def linked(fps: np.ndarray):
         fps = np.unique(fps)
-        pairs = forest(fps.view(np.uint64), threshold)
-        if pairs:
-            x, y = np.array(pairs).T
-            yield out(np.minimum(fps[x], fps[y]), np.maximum(fps[x], fps[y]), np.zeros(len(pairs)))
+        for pairs in linked_pairs(fps.view(np.uint64), threshold):
+            x, y = pairs.T
+            if len(x):
+                yield out(np.minimum(fps[x], fps[y]), np.maximum(fps[x], fps[y]), np.zeros(len(x)))
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -192,28 +216,29 @@ def _starred(batches):
         yield found
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200, hub: int = 10_000) -> DataFrame:
     """(u, v): every linked node but the smallest of its component, and that smallest node.
 
     links: (a, b). Alternates linking larger neighbours, then all neighbours, to the smallest
-    one; every round is a checkpoint in the shared folder.
+    one; every round is a checkpoint in the shared folder. The rounds grow with the logarithm
+    of a component's diameter.
     """
     edges = links.select("a", "b").mapInArrow(_starred, "u long, v long").distinct()
     edges = edges.checkpoint()
-    seen = None
+    seen, n = None, edges.count()
     for _ in range(rounds):
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("least"), F.count_if(F.col("v") > F.col("u")).alias("n")).withColumn("least", F.least("u", "least"))
+        large = join_hot(both.where("v > u"), low, "u", n, hub).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the smallest neighbour
-        down = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
+        down = large.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        small = join_hot(large, down, "u", n, hub).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
         edges = small.unionByName(down.select("u", F.col("least").alias("v"))).distinct().checkpoint()
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.count_distinct("u")).first()
         if seen == now[:2] and now[0] == now[2]:
             return edges
-        seen = now[:2]
+        seen, n = now[:2], now[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -234,16 +259,40 @@ def link_fingerprints(prints: DataFrame, *, threshold: int = THRESHOLD, hot: int
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, hot: int = 50_000) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, hot: int, hub: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key of the text, fp), and for each fingerprint (fp, n rows, least id, first
+    row, root: the smallest fingerprint that links reach)."""
+    short_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("body"))
+    each = written(own.mapInArrow(_fingerprinter(shingle), "id long, key long, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    groups = written(each.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least"), first.alias("first")), "distinct")
+    stars = components(link_fingerprints(groups, threshold=threshold, hot=hot), hub=hub)
+    return each, groups.join(stars, groups.fp == stars.u, "left").select("fp", "n", "least", "first", F.coalesce("v", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, hot: int = 50_000, hub: int = 10_000) -> DataFrame:
     """Per document row: its id, fingerprint (16 hexadecimal digits) and component_id, the
     smallest id among the documents that links reach."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    each = written(own.mapInArrow(_fingerprinter(shingle), "id long, fp long"), "fingerprints")
-    groups = written(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    stars = components(link_fingerprints(groups, threshold=threshold, hot=hot))
-    member = groups.join(stars, groups.fp == stars.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
-    return each.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each, member = _grouped(docs, id_col, text_col, shingle, threshold, hot, hub)
+    member = written(member.select("fp", "n", "least", "root"), "members")
+    lowest = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(member.select("fp", "root", F.col("n").alias("rows")), lowest, "root", member.count(), hub).select("fp", "component_id", F.col("rows").alias("n"))
+    return join_hot(each.select("id", "fp"), named, "fp", each.count(), hub).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, hot: int = 50_000, hub: int = 10_000) -> DataFrame:
+    """One row of each component, with all columns of docs."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    each, member = _grouped(docs, id_col, text_col, shingle, threshold, hot, hub)
+    firsts = written(member.groupBy("root").agg(F.min("first").alias("f")).select("f.id", "f.key"), "firsts")
+    rows = docs.toDF(*names)
+    one, key = rows[own[id_col]].cast("long"), F.xxhash64(rows[own[text_col]])
+    found = rows.join(firsts, one.eqNullSafe(firsts["id"]) & (key == firsts["key"]), "left_semi")
+    repeated = written(each.groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
+    if repeated.limit(1).count():  # of rows equal in id and text one stays; a hot one is one row for each task
+        again = one.eqNullSafe(repeated["id"]) & (key == repeated["key"])
+        least = found.join(repeated, again, "left_semi").groupBy(one.alias("id"), key.alias("key")).agg(F.min(F.struct(*names)).alias("r")).select("r.*")
+        found = found.join(repeated, again, "left_anti").unionByName(least)
+    return found.select(*names).toDF(*docs.columns)

@@ -93,3 +93,65 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long").repartition(7)
     got = {r["u"]: r["v"] for r in simhash.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
+
+
+def test_hot_keys_of_every_join(spark, frame, odd):
+    r = random.Random(11)
+    base = [f"t{r.randrange(300)}" for _ in range(400)]
+    rows = odd + [(300 + i, " ".join(base), "a") for i in range(40)]
+    for i in range(40):
+        w = list(base)
+        w[r.randrange(400)] = f"n{i}"
+        rows.append((400 + i, " ".join(w), "a"))
+    want = brute([(i, t) for i, t, _ in rows])
+    got = simhash.near_duplicates(frame(rows), hub=3)
+    assert sorted(map(str, map(tuple, got.collect()))) == want
+    links = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60)] + [(900, 901)], "a long, b long").repartition(5)
+    assert {r["u"]: r["v"] for r in simhash.components(links, hub=3).collect()} == {**{i: 0 for i in range(1, 60)}, **{i + 100: 0 for i in range(1, 60)}, 901: 900}
+
+
+def test_blocks_of_a_large_group_connect_the_same():
+    r = random.Random(4)
+    fps = {r.getrandbits(64) for _ in range(150)}
+    for x in list(fps):
+        for n in (1, 2, 3, 4, 5):
+            fps.add(x ^ sum(1 << b for b in r.sample(range(64), n)))
+    fps = np.array(sorted(fps), np.uint64)
+
+    def parts(pairs):
+        top = list(range(len(fps)))
+
+        def root(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            assert int(fps[a] ^ fps[b]).bit_count() <= 3
+            top[root(int(a))] = root(int(b))
+        least = {}
+        return [least.setdefault(root(i), i) for i in range(len(fps))]
+
+    assert parts(np.concatenate(list(simhash.linked_pairs(fps, 3, 10)))) == parts(simhash.forest(fps, 3))
+
+
+def test_first_rows_of_groups(spark, frame, odd):
+    extra = [(5, "another text of the id", "b"), (None, "words of no id", "a"), (None, "words of no id", "a"), (None, "one more of no id", "c"), (900, odd[3][1], "a")]
+    rows = odd + extra
+    docs = frame(rows)
+    got = [(r["doc_id"], r["text"]) for r in simhash.first_of_groups(docs).collect()]
+    assert simhash.first_of_groups(docs).columns == docs.columns
+    fps = [plain(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    spark_hash = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    want = [min(((i is None, i or 0, spark_hash[t]), (i, t)) for (i, t, _), h in zip(rows, group, strict=True) if h == g)[1] for g in sorted(set(group))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {t for i, t in got if i is None} == {"words of no id", "one more of no id"}  # each of its own group
+    assert simhash.first_of_groups(docs.limit(0)).count() == 0
+    clash = docs.toDF("doc_id", "text", "id", "key", "fp", "n", "root", "first", "least", "u", "v", "count")
+    assert clash.columns == simhash.first_of_groups(clash).columns and simhash.first_of_groups(clash).count() == len(got)
