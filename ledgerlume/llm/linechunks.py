@@ -5,14 +5,17 @@ falls into one of `divisor` classes, so an insertion moves boundaries only near
 Chunks of two lines or more whose bytes occur before, in id order over all documents, are
 removed; the first occurrence stays.
 
-Plan: pass 1 writes the chunk hashes (no text) and finds repeated ones by a counting
-aggregate. Pass 2 takes the text of those chunks alone and groups it by its bytes: partial
-aggregation sends a hot chunk once per task. A hash that turns out to have two texts is
-resolved by text. Last, the removals of a document meet its text in one join on the id.
+Plan: pass 1 writes the places and hashes of chunks (no text) and finds repeated hashes by a
+counting aggregate. The texts are then dealt by (id, hash of the text) in one exchange that the
+plan uses twice: the repeated chunks' texts are cut from it and grouped by their bytes (partial
+aggregation sends a hot chunk once per task), and the removals meet their documents in it.
+Places of a hash that has very many of them are not shuffled: such hashes are few, and their
+answer is broadcast.
 
 Defined results: a null text stays null with zero lines; an empty text has one empty line. Rows
 equal in id and text are one document: they get one result each, the same. Ties of an id are
-ordered by the text's hash. Null ids come first. Empty tables give no rows. Other columns are
+ordered by the text's hash. Null ids come first. Chunks that are equal in hash (MD5 and XXH64)
+but not in bytes stay. Empty tables give no rows. Other columns are
 not looked at.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlume.llm.shared import let, written
+from ledgerlume.llm.shared import heavy_keys, join_hot, let, written
 
 
 def _chunked(lines: Column, divisor: int) -> Column:
@@ -38,36 +41,35 @@ def _chunked(lines: Column, divisor: int) -> Column:
     return let(let(hashes, ends_of), cut)
 
 
-def _text_of(chunk: Column) -> Column:
-    return F.array_join(F.slice("__lines", chunk["first"], chunk["n"]), "\n")
-
-
-def dedup_line_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4) -> DataFrame:
+def dedup_line_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, hot: int = 1000) -> DataFrame:
     """Per document row: its id, n_lines, n_chunks, n_removed_chunks, n_removed_lines and the
-    text without the removed chunks. divisor: lines of a chunk, on average."""
+    text without the removed chunks. divisor: lines of a chunk, on average. hot: places of one
+    hash beyond which they are not shuffled."""
     keyed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))
     lined = keyed.withColumn("__lines", F.split("__text", "\n", -1))
-    cut = lined.withColumn("__chunks", _chunked(F.col("__lines"), divisor))
-    pieces = cut.select("__id", "__key", "__lines", F.posexplode("__chunks").alias("k", "c")).where(F.col("c.n") >= 2)
-    place = F.struct("__id", "__key", "k")
-    marks = written(pieces.select("__id", "__key", "k", F.unhex(F.md5(_text_of(F.col("c")))).alias("h")), "chunks")
-    repeated = marks.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    suspects = written(marks.join(repeated, "h"), "repeated")
+    pieces = lined.select("__id", "__key", "__lines", F.posexplode(_chunked(F.col("__lines"), divisor)).alias("k", "c")).where(F.col("c.n") >= 2)
+    text_of = lambda c: F.array_join(F.slice("__lines", c["first"], c["n"]), "\n")
+    bodies = pieces.select("__id", "__key", "k", "c", text_of(F.col("c")).alias("body"))
+    h = F.concat(F.unhex(F.md5("body")), F.unhex(F.lpad(F.hex(F.xxhash64("body")), 16, "0")))
+    marks = written(bodies.select("__id", "__key", "k", "c", h.alias("h")), "chunks")
+    repeated = written(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    total = marks.count()
+    suspects = written(join_hot(marks, repeated, "h", total, hot), "suspects")
 
-    wanted = suspects.groupBy("__id", "__key").agg(F.collect_set(F.struct("k", "h")).alias("marks"))
+    place = F.struct("__id", "__key", "k")
+    wanted = suspects.groupBy("__id", "__key").agg(F.collect_set(F.struct("k", "c", "h")).alias("marks"))
     both = [F.col("d.__id").eqNullSafe(F.col("m.__id")), F.col("d.__key") == F.col("m.__key")]
-    opened = keyed.alias("d").join(wanted.alias("m"), both).select("d.__id", "d.__key", "d.__text", F.col("m.marks"))
-    opened = opened.withColumn("__lines", F.split("__text", "\n", -1)).withColumn("__chunks", _chunked(F.col("__lines"), divisor))
-    texts = opened.select("__id", "__key", "__lines", "__chunks", F.explode("marks").alias("m")).select("__id", "__key", F.col("m.k").alias("k"), F.col("m.h").alias("h"), _text_of(F.get("__chunks", F.col("m.k"))).alias("body"))
-    kept = written(texts.groupBy("h", "body").agg(F.min(place).alias("keeper")), "kept")
-    per_hash = kept.groupBy("h").agg(F.count("*").alias("bodies"), F.min("keeper").alias("keeper"))
-    single = per_hash.where("bodies = 1")
-    gone = suspects.join(single, "h").where(~place.eqNullSafe(F.col("keeper"))).select("__id", "__key", "k")
-    shared_hashes = per_hash.where("bodies > 1").select("h")
-    clashing = texts.join(F.broadcast(shared_hashes) if shared_hashes.limit(10_001).count() <= 10_000 else shared_hashes, "h", "left_semi")
-    gone = gone.unionByName(clashing.join(kept, ["h", "body"]).where(~place.eqNullSafe(F.col("keeper"))).select("__id", "__key", "k"))
+    opened = keyed.alias("d").join(wanted.alias("m").hint("shuffle_merge"), both).select("d.__id", "d.__key", F.split("d.__text", "\n", -1).alias("__lines"), F.explode("m.marks").alias("m"))
+    kept = opened.select("__id", "__key", F.col("m.k").alias("k"), F.col("m.h").alias("h"), text_of(F.col("m.c")).alias("body")).groupBy("h", "body").agg(F.min(place).alias("keeper"))
+    single = kept.groupBy("h").agg(F.count("*").alias("bodies"), F.min("keeper").alias("keeper")).where("bodies = 1").drop("bodies")
+    later = ~place.eqNullSafe(F.col("keeper"))
+    heavy = heavy_keys(repeated, "h", total, hot)
+    if heavy is None:
+        gone = suspects.join(single, "h").where(later)
+    else:
+        gone = suspects.join(heavy, "h", "left_anti").join(single, "h").where(later).unionByName(suspects.join(F.broadcast(single.join(heavy, "h", "left_semi")), "h").where(later))
     lists = gone.groupBy("__id", "__key").agg(F.collect_set("k").alias("gone"))
-    whole = keyed.alias("d").join(lists.alias("m"), both, "left").select("d.__id", "d.__text", F.coalesce("m.gone", F.array().cast("array<int>")).alias("gone"))
+    whole = keyed.alias("d").join(lists.alias("m").hint("shuffle_merge"), both, "left").select("d.__id", "d.__text", F.coalesce("m.gone", F.array().cast("array<int>")).alias("gone"))
     whole = whole.withColumn("__lines", F.split("__text", "\n", -1)).withColumn("__chunks", _chunked(F.col("__lines"), divisor))
     lost = F.transform("gone", lambda k: F.get("__chunks", k)["n"])
     stays = F.flatten(F.transform(F.filter("__chunks", lambda c, i: ~F.array_contains("gone", i)), lambda c: F.slice("__lines", c["first"], c["n"])))

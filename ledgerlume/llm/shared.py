@@ -63,16 +63,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, hot: int, most: int = 10_000) -> DataFrame:
-    """left joined with right, which has one row for each key and in `n` how many of the
-    `total` rows of left hold it; n is not in the result.
+def heavy_keys(counts: DataFrame, key: str, total: int, hot: int, most: int = 10_000) -> DataFrame | None:
+    """The keys of counts (one row for each key, `n` of total rows) that have more than
+    max(hot, total / most) rows, as a broadcast; None if there is none. They are fewer than `most`."""
+    heavy = counts.where(F.col("n") > max(hot, total // most)).select(key)
+    return F.broadcast(heavy) if heavy.limit(1).count() else None
 
-    A key of more than max(hot, total / most) rows is one of fewer than `most`, so those are
-    broadcast and their rows stay where they are; only the other keys are shuffled.
-    """
-    limit = max(hot, total // most)
-    heavy = right.where(F.col("n") > limit).drop("n")
-    if not heavy.limit(1).count():
-        return left.join(right.drop("n"), key)
-    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key)
-    return light.unionByName(left.join(F.broadcast(heavy), key))
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, hot: int) -> DataFrame:
+    """left joined with right, which has one row for each key and in `n` how many of the
+    `total` rows of left hold it; n is not in the result. The few heavy keys are broadcast and
+    their rows stay where they are; only the other keys are shuffled."""
+    heavy, right_ = heavy_keys(right, key, total, hot), right.drop("n")
+    if heavy is None:
+        return left.join(right_, key)
+    light = left.join(heavy, key, "left_anti").join(right_.join(heavy, key, "left_anti"), key)
+    return light.unionByName(left.join(F.broadcast(right_.join(heavy, key, "left_semi")), key))

@@ -65,3 +65,19 @@ def test_native_plans_have_no_python(spark, frame, odd):
     for df in (licenses.scan_licenses(frame(odd)), linechunks.dedup_line_chunks(frame(odd))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_hot_chunks_give_the_same_rows(spark, frame, odd):
+    block = "\n".join(f"line {i} of a passage" for i in range(30))
+    rows = odd + [(100 + i, f"head {i}\n{block}\ntail {i}", "a") for i in range(40)] + [(None, block, "a"), (100, block, "b"), (100, block, "b")]
+    want = sorted(map(str, linechunks.dedup_line_chunks(frame(rows)).collect()))
+    assert sorted(map(str, linechunks.dedup_line_chunks(frame(rows), hot=5).collect())) == want and len(want) == len(rows)
+
+
+def test_texts_are_dealt_once(spark, frame, odd):
+    block = "\n".join(f"line {i} of a passage" for i in range(30))
+    df = linechunks.dedup_line_chunks(frame(odd + [(100 + i, f"head {i}\n{block}", "a") for i in range(30)]))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    dealt = [x for x in plan.split("\n") if " Exchange hashpartitioning(coalesce(__id" in x and "ReusedExchange" not in x]
+    assert plan.count("ReusedExchange") >= 1 and len(dealt) <= 4
