@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from ledgerlume.llm import licenses, linechunks
@@ -81,3 +82,70 @@ def test_texts_are_dealt_once(spark, frame, odd):
     plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     dealt = [x for x in plan.split("\n") if " Exchange hashpartitioning(coalesce(__id" in x and "ReusedExchange" not in x]
     assert plan.count("ReusedExchange") >= 1 and len(dealt) <= 4
+
+
+def wrapped(text, width, mark="", end="\n"):
+    out, line = [], mark
+    for w in text.split():
+        if len(line) + len(w) > width and line != mark:
+            out.append(line.rstrip())
+            line = mark
+        line += w + " "
+    return end.join([*out, line.rstrip()])
+
+
+def plain_scan(text):
+    """Units and windows by the definition, without any filter."""
+    known = {k: (len(licenses.words_of(v)), set(licenses.bigrams_of(v))) for k, v in licenses.TEMPLATES.items()}
+    fit = lambda g: [(-2 * len(g & b) / (len(g) + len(b)), k) for k, (_, b) in known.items() if g and 2 * len(g & b) / (len(g) + len(b)) >= 0.8]
+    lines = (text or "").split("\n")
+    units = [f for u in lines + ([text] if len(lines) > 1 else []) if (f := fit(set(licenses.bigrams_of(u))))]
+    words = [(w, i) for i, x in enumerate(lines) for w in licenses.words_of(x)]
+    grams = [f"{a} {b}" for (a, _), (b, _) in zip(words, words[1:], strict=False)]
+    windows = {}
+    for p in range(len(words)):
+        if p and words[p - 1][1] == words[p][1]:
+            continue
+        for k, (n, b) in known.items():
+            if p < len(grams) and grams[p] in b and not (p + n - 1 < len(words) and words[p + n - 1][1] == words[p][1]):
+                g = set(grams[p : p + n - 1])
+                if g and 2 * len(g & b) / (len(g) + len(b)) >= 0.8:
+                    windows.setdefault(p, []).append((-2 * len(g & b) / (len(g) + len(b)), k))
+    found = [x for f in (*units, *windows.values()) for x in f]
+    best = min(found) if found else (None, None)
+    return len(units) or len(windows), ",".join(sorted({k for _, k in found})), best[1], None if best[0] is None else round(-best[0], 6)
+
+
+def test_wrapped_notices_inside_longer_files(spark, frame, odd):
+    r = random.Random(21)
+    code = lambda: "\n".join(" ".join(f"{r.choice('abcdefgh')}{r.randrange(99)}" for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(3, 12)))
+    rows, planted = list(odd), {}
+    for name, text in licenses.TEMPLATES.items():
+        for width, mark, end in ((72, "", "\n"), (78, " * ", "\n"), (60, "// ", "\n"), (50, "# ", "\r\n"), (40, "", "\n\n")):
+            i = 1000 + len(planted)
+            planted[i] = name
+            rows.append((i, f"{code()}\n{mark}Copyright (c) 2019 Somebody Else\n{mark}\n{wrapped(text, width, mark, end)}\n{mark}\n{code()}", "a"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan_licenses(frame(rows)).collect() if (r["doc_id"] or 0) >= 1000}
+    for i, t, _ in rows:
+        if (i or 0) >= 1000:
+            assert got[i] == plain_scan(t), (planted[i], t)
+    caught = [planted[i] in got[i][1].split(",") for i in planted]
+    assert sum(caught) / len(caught) > 0.95 and all(got[i][0] for i in planted)
+    for width in (10, 62):
+        ten = "\n".join(" ".join(licenses.TEMPLATES["mit-grant"].split()[i : i + 10]) for i in range(0, width, 10))
+        (row,) = licenses.scan_licenses(frame([(1, f"first line\n{ten}\nlast line of it", "a")])).collect()
+        assert ("mit-grant" in row["licenses"]) == (width == 62)
+
+
+def test_needed_words_lose_no_unit():
+    r = random.Random(8)
+    for name, text in licenses.TEMPLATES.items():
+        words, bigrams = licenses.words_of(text), licenses.bigrams_of(text)
+        needed = licenses.needed_words(bigrams, 0.8)
+        assert len(needed) < 20
+        for _ in range(60):  # texts without any of these words never fit, the most alike of them included
+            w = [x for x in words if x not in needed and r.random() > 0.05]
+            own = set(licenses.bigrams_of(" ".join(w)))
+            best = [b for b in bigrams if not needed & set(b.split())]
+            for g in (own, set(best)):
+                assert 2 * len(g & set(bigrams)) / (len(g) + len(bigrams)) < 0.8 - 1e-12, name
