@@ -5,9 +5,13 @@ Both sides keep the smallest hash of every sliding window of word k-grams. A spa
 both sides keep the same gram of it: no shared span of that length is missed. Fingerprints
 found on both sides are extended word by word and confirmed on the bytes.
 
-Plan: no shuffle. The benchmark is read in blocks of at most `block_bytes` of text; the
-index of a block (a few times its bytes) is broadcast and the documents stream past it. A
-larger benchmark is more blocks, each one pass, and never a larger broadcast.
+Plan: a benchmark of at most `block_bytes` of text is an index (a few times its bytes) that is
+broadcast; the documents stream past it and nothing is shuffled. A larger one is a join of
+fingerprints: both sides write theirs as rows (hash, hash of the text, place), those of the
+documents that the benchmark has too are kept, and the windows around them meet the windows
+of the items in a join on their words. Texts are read again only where a fingerprint hit, once
+for all copies of a text. What a very common window or fingerprint has is split: its rows stay
+where they are, or are salted.
 
 Defined results: a null or empty text has no words and no hits. Repeated document rows each
 give a row. Items without words are left out; rows that share an item_id are one item; an
@@ -17,14 +21,15 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlume.llm import textbytes as tb
-from ledgerlume.llm.shared import short_batches, written
-
-import numpy as np
+from ledgerlume.llm.shared import join_hot, short_batches, written
 
 FOUND = ("__n_words", "__spans", "__item_ids")
 RESULT = "__n_words long, __spans array<struct<start:int,end:int>>, __item_ids array<string>"
@@ -168,9 +173,6 @@ def _scanner(index_of, text_col: str, carried: list[str]):
                 n_words += np.diff(words.first).tolist()
                 spans += [_merged(x) for x, _ in own]
                 items += [sorted(x) for _, x in own]
-            if FOUND[1] in batch.schema.names:
-                spans = [_merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(batch.column(FOUND[1]).to_pylist(), spans, strict=True)]
-                items = [sorted({*old, *new}) for old, new in zip(batch.column(FOUND[2]).to_pylist(), items, strict=True)]
             pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
             found_columns = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pair)), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in carried] + found_columns, names=[*carried, *FOUND])
@@ -199,20 +201,127 @@ def _matched(current: DataFrame, benchmark: DataFrame, text_col: str, wanted: li
     """The wanted columns of current and those of FOUND."""
     spark = current.sparkSession
     short_batches(spark)
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where(F.col("body").isNotNull())
-    total = tests.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("body")).where(F.col("body").isNotNull())
+    total = tests.agg(F.sum(F.octet_length("body") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
+    if total > block_bytes:
+        return _joined(current, tests, text_col, wanted, window, gram)
+    kinds = {f.name: f.dataType.simpleString() for f in current.schema.fields}
+    index = spark.sparkContext.broadcast(build_index([(r["item"], r["body"]) for r in tests.collect()], window, gram))
+    return current.mapInArrow(_scanner(index, text_col, wanted), ", ".join(f"{c} {kinds[c]}" for c in wanted) + ", " + RESULT)
+
+
+def _each(batch, place: int) -> Iterator[tuple[int, tb.Texts, tb.Spans]]:
+    """(row, bytes in lower case, words) of each text of a batch."""
+    lower = tb.lower_table()
+    for i, x in enumerate(batch.column(place)):
+        data = lower[np.frombuffer((x.as_py() or "").encode(), np.uint8)]
+        one = tb.Texts(data, np.array([0, len(data)]))
+        yield i, one, tb.words_of(one, tb.ALNUM)
+
+
+def _prints(one: tb.Texts, words: tb.Spans, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of one text's fingerprints for windows of `length` words."""
+    k = min(gram, length)
+    grams = tb.gram_hashes(tb.span_hashes(one.data, words.starts, words.ends, tb.byte_values()), k)
+    places = _chosen(grams, words.first, length, k)
+    return grams[places].view(np.int64), places
+
+
+def _item_prints(window: int, gram: int):
+    def run(batches):
+        for batch in batches:
+            for _, one, words in _each(batch, 1):
+                if n := len(words.starts):
+                    prints, _ = _prints(one, words, min(window, n), gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), min(window, n), np.int32)), pa.array(prints)], names=["length", "print"])
+
+    return run
+
+
+def _spelt(one: tb.Texts, words: tb.Spans) -> list[bytes]:
+    whole = one.data.tobytes()
+    return [whole[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
+
+
+def _item_windows(window: int):
+    def run(batches):
+        for batch in batches:
+            for i, one, words in _each(batch, 1):
+                own = _spelt(one, words)
+                if n := min(window, len(own)):
+                    wins = [b" ".join(own[a : a + n]) for a in range(len(own) - n + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(wins, pa.binary()), batch.column(0).take(pa.array([i] * len(wins), pa.int64()))], names=["win", "item"])
+
+    return run
+
+
+def _text_prints(lengths: list[int], gram: int):
+    def run(batches):
+        for batch in batches:
+            for i, one, words in _each(batch, 1):
+                for length in lengths:
+                    prints, places = _prints(one, words, length, gram)
+                    if len(prints):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(prints), pa.int64())), pa.array(np.full(len(prints), length, np.int32)), pa.array(prints), pa.array(places.astype(np.int32))], names=["text", "length", "print", "place"])
+
+    return run
+
+
+def _windows_around(gram: int):
+    """The windows of a text that hold a fingerprint of marks."""
+
+    def run(batches):
+        for batch in batches:
+            marks = batch.column(2).to_pylist()
+            for i, one, words in _each(batch, 1):
+                own, starts = _spelt(one, words), set()
+                for m in marks[i]:
+                    n, at = m["length"], m["place"]
+                    starts.update((a, n) for a in range(max(0, at + min(gram, n) - n), min(at, len(own) - n) + 1))
+                rows = sorted(starts)
+                wins = pa.array([b" ".join(own[a : a + n]) for a, n in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), pa.array([a for a, _ in rows], pa.int32()), pa.array([a + n for a, n in rows], pa.int32()), wins], names=["text", "start", "end", "win"])
+
+    return run
+
+
+def _counter(batches):
+    for batch in batches:
+        n = [len(words.starts) for _, _, words in _each(batch, 0)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], names=[*batch.schema.names[1:], FOUND[0]])
+
+
+def _merger(batches):
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in own])] for own in batch.column(1).to_pylist()]
+        pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pair)), batch.column(2)], names=["text", *FOUND[1:]])
+
+
+def _joined(current: DataFrame, tests: DataFrame, text_col: str, wanted: list[str], window: int, gram: int, salts: int = 32, hot: int = 1000) -> DataFrame:
+    """_matched() by a join of fingerprints. A text is known by its MD5; what is found depends on
+    the text alone."""
+    own_key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    prints = written(tests.mapInArrow(_item_prints(window, gram), "length int, print long").distinct(), "item-prints")
+    lengths = sorted(r["length"] for r in prints.select("length").distinct().collect())  # window of them at most
+    wins = written(tests.mapInArrow(_item_windows(window), "win binary, item string").groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")), "item-windows")
+    texts = current.select(own_key.alias("text"), F.col(text_col).cast("string").alias("body"))
+    rows = texts.mapInArrow(_text_prints(lengths, gram), "text binary, length int, print long, place int").withColumn("salt", F.pmod(F.xxhash64("text", "place"), F.lit(salts)))
+    salted = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    marks = rows.join(salted, ["length", "print", "salt"], "left_semi").groupBy("text").agg(F.collect_set(F.struct("length", "place")).alias("marks"))
+    hit = texts.join(marks.select("text"), "text", "left_semi").groupBy("text").agg(F.first("body").alias("body")).join(marks, "text")
+    around = written(hit.select("text", "body", "marks").mapInArrow(_windows_around(gram), "text binary, start int, end int, win binary"), "windows")
+    counts = around.groupBy("win").agg(F.count("*").alias("n"))
+    met = join_hot(around, written(wins.join(counts, "win"), "met"), "win", around.count(), hot)
+    grouped = met.groupBy("text").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    pair = "array<struct<start:int,end:int>>"
+    found = written(grouped.select("text", "spans", "items").mapInArrow(_merger, f"text binary, {FOUND[1]} {pair}, {FOUND[2]} array<string>"), "found")
+
     kinds = {f.name: f.dataType.simpleString() for f in current.schema.fields}
-    through = list(current.columns)
-    for b in range(blocks):
-        rows = (tests.where(block == b) if blocks > 1 else tests).collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item"], r["body"]) for r in rows], window, gram))
-        carried = wanted if b == blocks - 1 else through
-        current = current.mapInArrow(_scanner(index, text_col, carried), ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + RESULT)
-        if b < blocks - 1:
-            current = written(current, "decontaminate")
-    return current
+    counted = current.select(F.col(text_col).cast("string").alias("__body"), own_key.alias("__key"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("__salt"), *wanted).mapInArrow(_counter, ", ".join(["__key binary", "__salt long", *(f"{c} {kinds[c]}" for c in wanted)]) + f", {FOUND[0]} long")
+    copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    with_found = counted.join(copies, (F.col("__key") == F.col("text")) & (F.col("__salt") == F.col("salt")), "left")
+    return with_found.select(*wanted, FOUND[0], F.coalesce(FOUND[1], F.array().cast(pair)).alias(FOUND[1]), F.coalesce(FOUND[2], F.array().cast("array<string>")).alias(FOUND[2]))
 
 
 def contaminated_digest(found: DataFrame) -> DataFrame:

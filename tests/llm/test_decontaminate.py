@@ -66,3 +66,21 @@ def test_odd_rows_and_blocks(spark, frame, odd):
         assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(w[0]) for w in want if not w[5])
     assert d.decontaminate(docs.limit(0), bench).count() == 0
     assert not d.contaminated_digest(d.decontaminate(docs, bench.limit(0))).where("contaminated").count()
+
+
+def test_a_large_benchmark_is_joined_by_fingerprints(spark, frame):
+    import random
+
+    r = random.Random(31)
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, say(r.choice([3, 7, 10, 25, 60]))) for i in range(80)] + [(80, None), (81, ""), (82, "v1"), (None, say(30))]
+    common = items[4][1]
+    docs = [(i, f"{say(r.randrange(40))} {r.choice(items[:80])[1]} {say(9)}", "a") for i in range(60)] + [(100 + i, f"x{i} {common} y{i}", "b") for i in range(50)] + [(200, common, "b")] * 20 + [(201, None, "a"), (None, common, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute([(i, t) for i, t, _ in docs], [(None if i is None else str(i), t) for i, t in items]), key=str)
+    for block in (1 << 20, 100):
+        got = d.contaminated_digest(d.decontaminate(frame(docs), bench, block_bytes=block))
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    clean = lambda block: sorted(str(x["doc_id"]) for x in d.clean_documents(frame(docs), bench, block_bytes=block).collect())
+    assert clean(100) == clean(1 << 20) == sorted(str(w[0]) for w in want if not w[5])
