@@ -43,7 +43,7 @@ MAGIC = b"LLPLANE1"
 TAIL = "<5Q3I"
 #: Pieces of a generation whose ids a worker remembers, and what their texts and ids may take.
 REMEMBERED = 200_000
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 56 << 20
 #: A longer piece is text without spaces; it does not come again and is not remembered.
 LONG_PIECE = 48
 
@@ -240,15 +240,16 @@ class Encoder:
         pieces = [x.replace("\n", " ").split(" ") for x in texts]
         missing = set().union(*pieces) - self.known.keys()
         self._learn(missing)
-        find, long = self.known.__getitem__, [x for x in missing if len(x) > LONG_PIECE]
+        find = self.known.__getitem__
+        long = [x for x in missing if len(x) > LONG_PIECE] if max(map(len, missing), default=0) > LONG_PIECE else []
         try:
             for own in pieces:
                 yield b"".join(map(find, own)) + self.close
         finally:
+            # an entry is two objects and a place in the table, 200 bytes or so besides the ids
+            self.held += 200 * len(missing) + sum(map(len, map(find, missing)))
             for x in long:
-                del self.known[x]
-            # an entry is two objects and a place in the table, 160 bytes besides text and ids
-            self.held += sum(160 + len(x) + len(self.known[x]) for x in missing if len(x) <= LONG_PIECE)
+                self.held -= 200 + len(self.known.pop(x))
             if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
                 self.older, self.known, self.held = self.known, {"": b""}, 0
 
