@@ -23,7 +23,7 @@ Empty tables give no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -82,14 +82,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(b)).alias("n"), F.lit(len(words_of(texts[k]))).alias("words"), F.lit(len(b) * low - 1e-9).alias("low"), F.lit(len(b) * high + 1e-9).alias("high"), F.array(*map(F.lit, b)).alias("bigrams")).cast(kind) for k, b in own.items()]).cast(f"array<{kind}>")
     most = max([0, *(len(b) for b in own.values())]) * high
     needed = set().union(*(needed_words(b, threshold) for b in own.values()))
-    short, long = sorted(w for w in needed if len(w) < 4), [w for w in needed if len(w) >= 4]
-    long = sorted(w for w in long if not any(x != w and x in w for x in long))
-    alone = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(short)})(?![\p{{L}}\p{{N}}])"  # letters and digits need no escape
-
-    def holds(x: Column) -> Column:
-        some = functools.reduce(lambda a, w: a | F.contains(x, F.lit(w)), long, F.lit(False))
-        return some | F.rlike(x, F.lit(alone)) if short else some
-
+    by_letter = {a: "|".join(w[1:] for w in ws) for a, ws in itertools.groupby(sorted(needed), key=lambda w: w[0])}  # letters and digits need no escape
+    some = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(f'{a}(?:{rest})' for a, rest in by_letter.items())})(?![\p{{L}}\p{{N}}])"
+    holds = lambda x: F.rlike(x, F.lit(some)) if needed else F.lit(False)
     none = F.array().cast("array<array<struct<dice:double,name:string>>>")
 
     def scored(grams: Column, n: Column, fits: Column) -> Column:
