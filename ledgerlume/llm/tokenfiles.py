@@ -11,7 +11,7 @@ the tail (uint64 place and bytes of the table, uint64 place of the index, uint64
 uint64 ids, uint32 blocks, uint32 block size, uint32 planes); magic.
 
 Plan: one shuffle of the texts by range of the id, then every task encodes its run and
-streams it to one file: memory holds a batch of texts and a block of ids. The file appears
+streams it to one file: memory holds a chunk of texts, its ids, and a block of ids. The file appears
 under its name by a rename, so a repeated or speculative task leaves one whole shard.
 
 Defined results: a null text is empty and has the end id alone. Null ids come first. Rows of
@@ -27,10 +27,11 @@ import sys
 import types
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -46,6 +47,8 @@ REMEMBERED = 200_000
 REMEMBERED_BYTES = 56 << 20
 #: A longer piece is text without spaces; it does not come again and is not remembered.
 LONG_PIECE = 48
+#: Texts of which the different pieces are told apart together.
+CHUNK_BYTES = 8 << 20
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -167,16 +170,17 @@ class Encoder:
 
     Neither the normaliser nor the splitter of the tokenizers this is meant for looks across a
     space or line feed, and both drop them, so a text's ids are those of its pieces, one after
-    the other. Pieces met before are remembered in two generations of bounded bytes, so that
-    frequent ones stay; long pieces live for their batch alone. Of new pieces, plain letters (and a full stop or comma after them) go to the
-    tokenizer's model in lower case, which is all the other steps do to them; the rest are
-    encoded together, a mark of their own between them. Probes confirm that the tokenizer is of
-    this kind; if it isn't, whole texts are encoded.
+    the other. The pieces of many texts are told apart at once in Arrow, and each different one
+    is encoded once: plain letters (and a full stop or comma after them) go to the tokenizer's
+    model in lower case, which is all the other steps do to them; the rest are encoded
+    together, a mark of their own between them. What was met before is remembered in two
+    generations of bounded bytes, so that the frequent stays; long pieces are not remembered.
+    Probes confirm that the tokenizer is of this kind; if it isn't, whole texts are encoded.
     """
 
     MARK = "\x01"
-    #: Letters below this have one lower-case letter and no other composed form.
-    PLAIN_LETTERS = "\u0130"
+    #: Letters below U+0130 have one lower-case letter and no other composed form.
+    PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+[.,]?$"
 
     def __init__(self, path: str, end_id: int | None) -> None:
         from tokenizers import Tokenizer
@@ -184,7 +188,7 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.model = self.tool.model
         self.close = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
         self.spelt = str.maketrans(byte_letters())
@@ -214,44 +218,61 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts pieces that aren't known among the known."""
-        known, older, letters, odd = self.known, self.older, self._letters, []
-        for x in pieces:
-            if (y := older.get(x)) is not None:
-                known[x] = y
-                continue
-            stem, end = x, b""
-            if x[-1] in ".," and x[-2:-1].isalpha():
-                stem, end = x[:-1], self.stops[x[-1]]
-            if self.modelled and stem.isalpha() and (stem.isascii() or max(stem) < self.PLAIN_LETTERS):
-                known[x] = letters(stem.lower()) + end
-            else:
-                odd.append(x)
-        plain = [x for x in odd if self.MARK not in x]
-        known.update((x, self._ids(x).tobytes()) for x in odd if self.MARK in x)
+    def _known(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The ids of different keys, remembered ones or made."""
+        known, older = self.known, self.older
+        out = [known.get(x) or older.get(x) for x in keys]
+        places = [i for i, y in enumerate(out) if y is None]
+        for i, y in zip(places, make([keys[i] for i in places]), strict=True):
+            out[i] = y
+        return out
+
+    def _odd(self, pieces: list[str]) -> list[bytes]:
+        plain = [x for x in pieces if self.MARK not in x]
+        found: dict[str, bytes] = {x: self._ids(x).tobytes() for x in pieces if self.MARK in x}
         for i in range(0, len(plain), 4096):
-            known.update(zip(plain[i : i + 4096], self._together(plain[i : i + 4096]), strict=True))
+            found.update(zip(plain[i : i + 4096], self._together(plain[i : i + 4096]), strict=True))
+        return [found[x] for x in pieces]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def _remember(self, keys: list[str], ids: list[bytes]) -> None:
+        """An entry is two objects and a place in the table, 200 bytes or so besides the ids."""
+        new = {x: y for x, y in zip(keys, ids, strict=True) if len(x) <= LONG_PIECE and x not in self.known}
+        self.known |= new
+        self.held += 200 * len(new) + sum(map(len, new.values()))
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        texts = pc.cast(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), pa.large_string())
         if not self.by_piece:
-            yield from (self._ids(x).tobytes() + self.close for x in texts)
+            yield from (self._ids(x).tobytes() + self.close for x in texts.to_pylist())
             return
-        pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        missing = set().union(*pieces) - self.known.keys()
-        self._learn(missing)
-        find = self.known.__getitem__
-        long = [x for x in missing if len(x) > LONG_PIECE] if max(map(len, missing), default=0) > LONG_PIECE else []
-        try:
-            for own in pieces:
-                yield b"".join(map(find, own)) + self.close
-        finally:
-            # an entry is two objects and a place in the table, 200 bytes or so besides the ids
-            self.held += 200 * len(missing) + sum(map(len, map(find, missing)))
-            for x in long:
-                self.held -= 200 + len(self.known.pop(x))
-            if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
-                self.older, self.known, self.held = self.known, {"": b""}, 0
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        told = pc.dictionary_encode(pieces.flatten())
+        each = told.dictionary
+        plain = pc.and_(pc.match_substring_regex(each, self.PLAIN), self.modelled)
+        stop = np.where(pc.ends_with(each, ".").to_numpy(False), 1, np.where(pc.ends_with(each, ",").to_numpy(False), 2, 0))
+        is_plain = plain.to_numpy(False)
+        stems = pc.dictionary_encode(pc.utf8_lower(pc.utf8_rtrim(each.filter(plain), ".,")))
+        stem_keys, odd_keys = stems.dictionary.to_pylist(), each.filter(pc.invert(plain)).to_pylist()
+        stem_ids, odd_ids = self._known(stem_keys, lambda new: map(self._letters, new)), self._known(odd_keys, self._odd)
+
+        parts = [b"", *self.stops.values(), *stem_ids, *odd_ids]
+        starts = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(x) // 4 for x in parts], out=starts[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(parts), "<u4")))
+        two = np.zeros((len(each), 2), np.int64)  # a piece is a stem and a stop, or an odd one
+        two[is_plain, 0] = 3 + stems.indices.to_numpy(False)
+        two[is_plain, 1] = stop[is_plain]
+        two[~is_plain, 0] = 3 + len(stem_ids) + np.arange(len(odd_ids))
+        both = lists.take(pa.array(two.reshape(-1)))
+        whole = pa.LargeListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.flatten())
+        spelt = whole.take(told.indices)
+        ids, ends = spelt.flatten().to_numpy(), spelt.offsets.to_numpy()[pieces.offsets.to_numpy()]
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            yield ids[a:b].tobytes() + self.close
+        self._remember(stem_keys, stem_ids)
+        self._remember(odd_keys, odd_ids)
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
 
 
 def encoder(path: str, end_id: int | None) -> Encoder:
@@ -269,6 +290,25 @@ def _open_shard(folder: str, number: int):
     return system, final, f"{final}.{TaskContext.get().taskAttemptId()}.tmp"
 
 
+def _chunks(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(names, texts) of consecutive batches, up to CHUNK_BYTES of text and one batch more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        names, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+        return names, pc.fill_null(texts, "")
+
+    for batch in batches:
+        held.append(batch.set_column(1, "body", pc.cast(batch.column(1), pa.large_string())))
+        size += batch.column(1).nbytes
+        if size >= CHUNK_BYTES:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
 def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool):
     def write(batches):
         encode, number = encoder(tokenizer, end_id), TaskContext.get().partitionId()
@@ -276,9 +316,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
         n_docs = 0
         with system.open_output_stream(draft) as sink:
             shard = ShardWriter(sink, block_ids, bits)
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                for name, ids in zip(names, encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for names, texts in _chunks(batches):
+                for name, ids in zip(names.to_pylist(), encode(texts), strict=True):
                     shard.add(name, ids)
                 n_docs += len(names)
             shard.close()
