@@ -1,9 +1,10 @@
 """PageRank, betweenness, clustering and component size, by cumulative window graphs.
 
-Each window is a task of its own: the collapsed pairs go there with the window in which they
-first appear, so a task holds the distinct pairs of a graph, not its transfers. Betweenness
-spreads further, over (window, group of sources). One graph too large for a task has
-pagerank_one(), a loop of joins.
+The graphs of a run's windows grow from one list of pairs with the window in which each first
+appears. A task holds that list once (distinct pairs, not transfers) and serves every
+`chunks`-th window, so pairs are copied by tasks and not by windows; the sampled sources of
+betweenness are dealt over further tasks, whose sums add up. One graph too large for a task
+has pagerank_one() and clustering_one(), which are joins.
 """
 
 from __future__ import annotations
@@ -105,33 +106,39 @@ def first_pairs(tx: DataFrame, size: str) -> DataFrame:
     return windows.tumbling(tx, size).groupBy("sender", "receiver").agg(F.min("window_id").alias("first"))
 
 
-def _by_window_edges(tx: DataFrame, size: str) -> DataFrame:
-    """Each pair in every window from its first on. A window's pairs meet in one task."""
-    last = windows.bounds(tx, size, size).agg(F.max("window_id").alias("hi"))
-    return first_pairs(tx, size).crossJoin(F.broadcast(last)).select("sender", "receiver", F.explode(F.sequence("first", "hi")).alias("window_id"))  # one row
-
-
-def _coded(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, codes = np.unique(np.concatenate([pdf["sender"].to_numpy(str), pdf["receiver"].to_numpy(str)]), return_inverse=True)
-    return codes[: len(pdf)], codes[len(pdf) :], names
-
-
-def by_window(tx: DataFrame, size: str = "1d", sources: int | None = 100, seed: int = 42) -> DataFrame:
+def by_window(tx: DataFrame, size: str = "1d", sources: int | None = 100, seed: int = 42, chunks: int = 64, source_groups: int = 4) -> DataFrame:
     """(window_id, account_id, pagerank, betweenness_centrality, clustering_coefficient,
     component_size). sources: sampled sources of betweenness where a graph has more nodes."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst, names = _coded(pdf)
-        n = len(names)
-        if sources is None or sources >= n:
-            roots, scale = np.arange(n), 1.0
-        else:
-            roots, scale = np.sort(np.random.default_rng(seed).choice(n, sources, replace=False)), n / sources
-        loops = src != dst
-        between = dependencies(src[loops], dst[loops], n, roots) * scale / ((n - 1) * (n - 2)) if n > 2 else np.zeros(n)
-        return pd.DataFrame({"window_id": pdf["window_id"].iloc[0], "account_id": names, "pagerank": pagerank(src, dst, n), "betweenness_centrality": between, "clustering_coefficient": clustering(src, dst, n), "component_size": component_sizes(src, dst, n)})
-
-    return _by_window_edges(tx, size).groupBy("window_id").applyInPandas(solve, "window_id int, account_id string, pagerank double, betweenness_centrality double, clustering_coefficient double, component_size long")
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, group = key
+        names, codes = np.unique(np.concatenate([pdf["sender"].to_numpy(str), pdf["receiver"].to_numpy(str)]), return_inverse=True)
+        src_all, dst_all, first = codes[: len(pdf)], codes[len(pdf) :], pdf["first"].to_numpy()
+        out = []
+        for w in range(int(chunk), int(pdf["hi"].iloc[0]) + 1, chunks):
+            there = first <= w
+            if not there.any():
+                continue
+            own, local = np.unique(np.concatenate([src_all[there], dst_all[there]]), return_inverse=True)
+            src, dst, n = local[: there.sum()], local[there.sum() :], len(own)
+            if sources is None or sources >= n:
+                roots, scale = np.arange(n), 1.0
+            else:
+                roots, scale = np.sort(np.random.default_rng(seed).choice(n, sources, replace=False)), n / sources
+            loops = src != dst
+            between = dependencies(src[loops], dst[loops], n, roots[group::source_groups]) * scale / ((n - 1) * (n - 2)) if n > 2 else np.zeros(n)
+            rest = {"pagerank": pagerank(src, dst, n), "clustering_coefficient": clustering(src, dst, n), "component_size": component_sizes(src, dst, n)} if group == 0 else {"pagerank": np.nan, "clustering_coefficient": np.nan, "component_size": 0}
+            out.append(pd.DataFrame({"window_id": w, "account_id": names[own], "between": between, **rest}))
+        columns = ["window_id", "account_id", "between", "pagerank", "clustering_coefficient", "component_size"]
+        return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame(columns=columns)
+
+    last = windows.bounds(tx, size, size).agg(F.max("window_id").alias("hi"))
+    pairs = first_pairs(tx, size).crossJoin(F.broadcast(last))  # one row
+    task = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = pairs.withColumn("chunk", task(chunks)).where(F.col("chunk") <= F.col("hi")).withColumn("group", task(source_groups))
+    parts = dealt.groupBy("chunk", "group").applyInPandas(solve, "window_id int, account_id string, between double, pagerank double, clustering_coefficient double, component_size long")
+    whole = lambda c: F.max(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return parts.groupBy("window_id", "account_id").agg(whole("pagerank"), F.sum("between").alias("betweenness_centrality"), whole("clustering_coefficient"), F.max("component_size").alias("component_size"))
 
 
 def pagerank_one(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlume.functions.columns import half_up, micros
-from ledgerlume.operators import windows
+from ledgerlume.operators import profile, windows
 
 
 def can_checkpoint(spark: SparkSession) -> None:
@@ -24,6 +24,17 @@ def can_checkpoint(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="ledgerlume-"))
 
 
+def checked(tx: DataFrame) -> DataFrame:
+    """tx, if it may become a temporal graph: it has rows, and in the order of input (row_ord) no
+    time is before the one ahead of it. Raises ValueError otherwise."""
+    row = profile.out_of_order(tx, 10_000).crossJoin(tx.agg(F.count("*").alias("n"))).first()  # one row each
+    if not row["n"]:
+        raise ValueError("a temporal graph needs transfers; there are none")
+    if row["out_of_order_rows"]:
+        raise ValueError(f"transfers must be in the order of time; {row['out_of_order_rows']} rows are before the one ahead of them (clean them first)")
+    return tx
+
+
 def pairs(tx: DataFrame, *keys: str) -> DataFrame:
     """The collapsed digraph: distinct (sender, receiver) of each graph."""
     return tx.select(*keys, "sender", "receiver").distinct()

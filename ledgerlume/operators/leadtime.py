@@ -120,6 +120,45 @@ def completion_leads(leads: DataFrame, truth: DataFrame, window_us: int = DAY_US
     return leads.join(truth, "truth_id", "left").withColumn("completion_lead", F.col("last_window") - F.col("warning_window"))
 
 
+def candidate_leads(candidates: DataFrame, pairs: DataFrame, warnings: DataFrame, windows_of_truth: DataFrame) -> DataFrame:
+    """A row for each candidate: its best truth and the match's kind (NONE without one), whether
+    and when it warned, and the lead to the truth's first transfer (observable) and to its last
+    (completion), in windows.
+
+    pairs: interval_pairs(); windows_of_truth: (truth_id, observable_window, completion_window).
+    """
+    best = best_match(pairs, "candidate_id").select("candidate_id", "truth_id", "match_type", "shared", "recall", "precision", "jaccard", "overlap_days", "gap_days")
+    out = candidates.select("candidate_id").join(best, "candidate_id", "left").join(warnings, "candidate_id", "left").join(windows_of_truth, "truth_id", "left")
+    lead, done = F.col("observable_window") - F.col("warning_window"), F.col("completion_window") - F.col("warning_window")
+    return out.select(
+        "candidate_id", "truth_id", F.coalesce("match_type", F.lit("NONE")).alias("match_strength"), "shared", "recall", "precision", "jaccard", "overlap_days", "gap_days", F.col("warning_window").isNotNull().alias("alerted"), "warning_window",
+        "observable_window", lead.alias("lead_time"), F.coalesce(lead >= 0, F.lit(False)).alias("early"), "completion_window", done.alias("completion_lead_time"), F.coalesce(done >= 0, F.lit(False)).alias("completion_early"),
+    )
+
+
+def lead_report(rows: DataFrame, n_truth: int) -> DataFrame:
+    """One row over candidate_leads(): strict figures count STRONG matches only, extended ones
+    MODERATE matches too; a warned candidate without a counted match is a false warning. The
+    distribution of completion leads is there for both."""
+    strong, near = F.col("match_strength") == "STRONG", F.col("match_strength").isin("STRONG", "MODERATE")
+    share = lambda a, b: F.when(b > 0, a / b)
+    alerted = count_where(F.col("alerted"))
+    out = [F.lit(n_truth).cast("long").alias("n_truth"), F.count("*").alias("n_candidates"), count_where(strong).alias("n_strong"), count_where(F.col("match_strength") == "MODERATE").alias("n_moderate"), count_where(near).alias("n_extended"), alerted.alias("n_alerted")]
+    for name, matched in (("strict", strong), ("extended", near)):
+        used = matched & F.col("lead_time").isNotNull()
+        found = F.count_distinct(F.when(used, F.col("truth_id")))
+        out += [
+            count_where(used).alias(f"{name}_alerted_and_matched"), share(count_where(matched), F.count("*")).alias(f"{name}_candidate_match_rate"), found.alias(f"{name}_truth_detected"), share(found, F.lit(n_truth)).alias(f"{name}_detection_rate"),
+            share(count_where(F.col("alerted") & ~matched), alerted).alias(f"{name}_false_warning_rate"),
+        ]
+        for kind in ("lead_time", "completion_lead_time"):
+            x = F.when(matched, F.col(kind))
+            early = count_where(matched & (F.col(kind) >= 0))
+            out += [f(x).alias(f"{name}_{label}_{kind}") for label, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
+            out += [F.when(F.count(x) > 1, F.stddev_pop(x)).alias(f"{name}_std_{kind}"), early.alias(f"{name}_early_{kind}"), share(early, F.count(x)).alias(f"{name}_early_rate_{kind}")]
+    return rows.agg(*out)
+
+
 def account_overlap(candidates: DataFrame, known: DataFrame, steps: tuple[int, ...] = (1, 2, 3, 5, 10)) -> DataFrame:
     """(min_shared, n_candidates): candidates with so many known accounts at least."""
     hit = candidates.select("candidate_id", F.explode(F.array_distinct("accounts")).alias("account_id")).join(known.select("account_id").distinct(), "account_id", "left_semi").groupBy("candidate_id").agg(F.count("*").alias("n"))

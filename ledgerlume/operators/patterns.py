@@ -103,24 +103,41 @@ def layering(tx: DataFrame, size: str = "1d", min_hops: int = 3, max_hops: int =
     return ended.select(*_event("layering", window, first["us"], first["sender"], F.col("accounts"), F.transform("hops", lambda h: h["transaction_id"]), strength, {"n_hops": n, "start_amount": first["amount"], "end_amount": last["amount"], "amount_retention_ratio": kept_share, "total_duration_hours": (last["us"] - first["us"]) / float(HOUR_US)}))
 
 
+def _spreading(leg: DataFrame, z: int) -> DataFrame:
+    """Anchors, numbered by sender: transfers from which on their sender pays a second receiver
+    within z. The next transfer to another receiver decides, or one before at the same time."""
+    by = Window.partitionBy("sender").orderBy("us", "row_ord")
+    back = Window.partitionBy("sender").orderBy(F.desc("us"), F.desc("row_ord")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = leg.withColumn("new", ~F.col("receiver").eqNullSafe(F.lag("receiver").over(by)) & F.lag("us").over(by).isNotNull())
+    turns = new.withColumns({"turn": F.lead(F.when(F.col("new"), F.col("us"))).over(by), "before": F.when(F.col("new"), F.lag("us").over(by))})
+    near = turns.withColumns({"later": F.last("turn", ignorenulls=True).over(back), "earlier": F.last("before", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    able = near.where((F.col("later") < F.col("us") + z) | (F.col("earlier") == F.col("us")))
+    return able.select(F.col("transaction_id").alias("anchor"), F.col("sender").alias("source"), F.col("us").alias("t"), F.col("row_ord").alias("o"), F.row_number().over(by).alias("n"))
+
+
 def split_merge(tx: DataFrame, size: str = "1d", window: str = "2d") -> DataFrame:
     """The first transfer of each sender after which it pays two or more receivers of whom two
-    or more pay one account. Both joins are on (account, time bucket)."""
+    or more pay one account. Both joins are on (account, time bucket).
+
+    One event a sender is wanted, so a sender's anchors are tried in rounds, few at first and
+    four times as many each round; a sender that has its event takes part no more. A round is a
+    checkpoint.
+    """
     z = duration_us(window)
+    can_checkpoint(tx.sparkSession)
     own = _with_extent(tx)
     leg = own.select("sender", "receiver", "transaction_id", "us", "row_ord")
-    anchor = leg.select(F.col("transaction_id").alias("anchor"), F.col("sender").alias("source"), F.col("us").alias("t"), F.col("row_ord").alias("o"))
-    b = F.floor(F.col("t") / z)
-    near = anchor.withColumn("bucket", F.explode(F.array(b, b + 1)))
     sends = leg.withColumn("bucket", F.floor(F.col("us") / z))
-    paid = near.join(sends, (near.source == sends.sender) & (near.bucket == sends.bucket)).where((F.col("us") >= F.col("t")) & (F.col("us") < F.col("t") + z))
-    split = paid.groupBy("anchor", "source", "t", "o").agg(ordered(F.struct("receiver", "transaction_id"), "us", "row_ord").alias("rows"))
-    split = split.withColumn("targets", F.array_distinct(F.transform("rows", lambda r: r["receiver"]))).where(F.size("targets") >= 2)
-    spread = split.select("anchor", "t", F.explode("targets").alias("target")).withColumn("bucket", F.explode(F.array(b, b + 1, b + 2)))
-    onward = spread.join(sends, (spread.target == sends.sender) & (spread.bucket == sends.bucket)).where((F.col("us") >= F.col("t")) & (F.col("us") < F.col("t") + 2 * z))
-    dest = onward.groupBy("anchor", "receiver").agg(F.count_distinct("sender").alias("n"), ordered(F.col("transaction_id"), "us", "row_ord").alias("ids")).where("n >= 2")
-    best = dest.groupBy("anchor").agg(F.min_by(F.struct(F.col("receiver").alias("dest"), "ids"), F.struct(-F.col("n"), F.col("receiver"))).alias("m"))
-    first = split.join(best, "anchor").groupBy("source").agg(F.min_by(F.struct("t", "targets", "rows", "m"), F.struct("t", "o")).alias("e")).select("source", "e.*")
+    anchors = _spreading(leg, z).checkpoint()
+    most = anchors.agg(F.max("n")).first()[0] or 0
+    first, low, high = None, 1, 2
+    while first is None or low <= most:
+        batch = anchors.where(F.col("n").between(low, high))
+        if first is not None:
+            batch = batch.join(first.select("source"), "source", "left_anti")
+        met = _merging(batch, sends, z).checkpoint()
+        first = met if first is None else first.unionByName(met)
+        low, high = high + 1, high * 4
     placed = windows.with_extent(first, tx)
     n = F.size("targets")
     return placed.select(*_event(
@@ -129,6 +146,25 @@ def split_merge(tx: DataFrame, size: str = "1d", window: str = "2d") -> DataFram
     ))
 
 
+def _merging(anchor: DataFrame, sends: DataFrame, z: int) -> DataFrame:
+    """(source, t, targets, rows, m) of the first of each sender's anchors that has a merge."""
+    b = F.floor(F.col("t") / z)
+    near = anchor.withColumn("bucket", F.explode(F.array(b, b + 1)))
+    paid = near.join(sends, (near.source == sends.sender) & (near.bucket == sends.bucket)).where((F.col("us") >= F.col("t")) & (F.col("us") < F.col("t") + z))
+    split = paid.groupBy("anchor", "source", "t", "o").agg(ordered(F.struct("receiver", "transaction_id"), "us", "row_ord").alias("rows"))
+    split = split.withColumn("targets", F.array_distinct(F.transform("rows", lambda r: r["receiver"]))).where(F.size("targets") >= 2)
+    spread = split.select("anchor", "t", F.explode("targets").alias("target")).withColumn("bucket", F.explode(F.array(b, b + 1, b + 2)))
+    onward = spread.join(sends, (spread.target == sends.sender) & (spread.bucket == sends.bucket)).where((F.col("us") >= F.col("t")) & (F.col("us") < F.col("t") + 2 * z))
+    dest = onward.groupBy("anchor", "receiver").agg(F.count_distinct("sender").alias("n")).where("n >= 2")
+    best = dest.groupBy("anchor").agg(F.min_by("receiver", F.struct(-F.col("n"), F.col("receiver"))).alias("dest"))
+    first = split.join(best, "anchor").groupBy("source").agg(F.min_by(F.struct("anchor", "t", "targets", "rows", "dest"), F.struct("t", "o")).alias("e")).select("source", "e.*")
+    # the transfers into the destination are gathered for the chosen anchors alone
+    into = first.select("anchor", "t", "dest", F.explode("targets").alias("target")).withColumn("bucket", F.explode(F.array(b, b + 1, b + 2)))
+    merged = into.join(sends, (into.target == sends.sender) & (into.bucket == sends.bucket) & (into.dest == sends.receiver)).where((F.col("us") >= F.col("t")) & (F.col("us") < F.col("t") + 2 * z))
+    ids = merged.groupBy("anchor").agg(ordered(F.col("transaction_id"), "us", "row_ord").alias("ids"))
+    return first.join(ids, "anchor").select("source", "t", "targets", "rows", F.struct("dest", "ids").alias("m"))
+
+
 def successors(tx: DataFrame, branching: int = 5) -> DataFrame:
     """(transaction_id, next): for each transfer the first few later sends of its receiver.
 
@@ -181,8 +217,9 @@ def pass_through(tx: DataFrame, hold_hours: float = 48) -> DataFrame:
     leg = F.struct("us", "row_ord", "transaction_id", "sender", "receiver", "amount")
     inc = own.select(F.col("receiver").alias("account"), "us", F.lit(0).alias("kind"), "row_ord", leg.alias("leg"))
     out = own.select(F.col("sender").alias("account"), "us", F.lit(1).alias("kind"), "row_ord", leg.alias("leg"))
-    ahead = Window.partitionBy("account").orderBy("us", "kind", "row_ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    nearest = inc.unionByName(out).withColumn("o", F.first(F.when(F.col("kind") == 1, F.col("leg")), ignorenulls=True).over(ahead)).where("kind = 0")
+    # from the last leg backwards, so that the frame only grows: one step for each leg
+    ahead = Window.partitionBy("account").orderBy(F.desc("us"), F.desc("kind"), F.desc("row_ord")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nearest = inc.unionByName(out).withColumn("o", F.last(F.when(F.col("kind") == 1, F.col("leg")), ignorenulls=True).over(ahead)).where("kind = 0")
     near = nearest.where(F.col("o").isNotNull() & (F.col("o.us") - F.col("us") <= int(hold_hours * HOUR_US)) & (F.col("o.transaction_id") != F.col("leg.transaction_id")))
     first = F.row_number().over(Window.partitionBy("account", "o.transaction_id").orderBy("us", "row_ord")) == 1
     return near.withColumn("one", first).where("one").select("account", F.col("leg").alias("i"), "o")
@@ -200,15 +237,17 @@ def rapid_pass_through(tx: DataFrame, size: str = "1d", hold_hours: float = 48)
 
 def anchored_episodes(events: DataFrame, keys: list[str], us: str, days: float, *ties: str) -> DataFrame:
     """events with episode: an episode takes what is at most `days` after its first event. Not
-    gap-based. A fold over the sorted moments of a key gives the episodes' starts; a key's
-    moments are 8 bytes each, and the events themselves stay where they are."""
+    gap-based. A fold over the sorted moments of a key gives the episodes' starts (a key's
+    moments are 8 bytes each); an event's episode is the last start at or before it, by one sort
+    of starts and events, never a pair of each event and each episode."""
     span = int(days * DAY_US)
     moments = events.groupBy(*keys).agg(F.array_sort(F.collect_set(us)).alias("m"))
     fold = F.aggregate("m", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, F.greatest(F.size(acc), F.lit(1))) > span), F.concat(acc, F.array(t))).otherwise(acc))
-    starts = moments.select(*keys, F.posexplode(fold).alias("episode", "lo"))
-    nxt = F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))
-    ranges = starts.withColumn("hi", nxt)
-    return events.join(ranges, keys).where((F.col(us) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(us) < F.col("hi")))).drop("lo", "hi")
+    starts = moments.select(*keys, F.posexplode(fold).alias("episode", us)).withColumn("__event", F.lit(False))
+    row = events.select(*[F.col(c) for c in keys], us, F.lit(True).alias("__event"), F.struct(*events.columns).alias("__row"))
+    so_far = Window.partitionBy(*keys).orderBy(us, "__event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = row.unionByName(starts, allowMissingColumns=True).withColumn("__episode", F.last("episode", ignorenulls=True).over(so_far)).where("__event AND __episode IS NOT NULL")
+    return placed.select("__row.*", F.col("__episode").alias("episode"))
 
 
 def repeated_intermediary(tx: DataFrame, size: str = "1d", hold_hours: float = 48, min_count: int = 3, days: float = 10) -> DataFrame:

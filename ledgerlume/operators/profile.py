@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlume.functions.columns import half_up, is_blank, micros
+from ledgerlume.functions.columns import count_where, half_up, is_blank, micros
 from ledgerlume.sources.canonical import COLUMNS
 
 CONTENT = ("sender", "receiver", "amount", "timestamp")
@@ -29,13 +29,18 @@ def issue_conditions(now: dt.datetime) -> dict[str, Column]:
 def flagged(df: DataFrame, now: dt.datetime) -> DataFrame:
     """df with a boolean column for each issue, duplicates (all members) and order included.
 
-    The order of input is checked across ranges of row_ord, so that no task sees all rows.
+    The order of input is checked across ranges of row_ord, so that no task sees all rows. Rows
+    without an id are all duplicates of one another if there are two; they are counted and not
+    gathered.
     """
     same = lambda *c: F.count("*").over(Window.partitionBy(*c)) > 1
-    out = df
+    none = df.agg(count_where(F.col("transaction_id").isNull()).alias("__none"))
+    out = df.crossJoin(F.broadcast(none))  # one row
     for name, c in issue_conditions(now).items():
         out = out.withColumn(f"is_{name}", F.coalesce(c, F.lit(False)))
-    return out.withColumn("is_duplicate_transaction_ids", same("transaction_id")).withColumn("is_duplicate_transaction_content", same(*CONTENT))
+    spread = F.when(F.col("transaction_id").isNull(), F.col("row_ord"))
+    twice = F.when(F.col("transaction_id").isNull(), F.col("__none") > 1).otherwise(same("transaction_id", spread))
+    return out.withColumn("is_duplicate_transaction_ids", twice).drop("__none").withColumn("is_duplicate_transaction_content", same(*CONTENT))
 
 
 def issue_counts(df: DataFrame, now: dt.datetime) -> DataFrame:

@@ -5,11 +5,12 @@ A candidate table has candidate_ring_id, accounts, patterns, event_count and den
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlume.functions.columns import half_up
 from ledgerlume.functions.config import PATTERN_WEIGHTS, Settings
+from ledgerlume.functions.running import totals_before
 
 PARTS = ("behavioural", "network", "fund_flow", "persistence")
 
@@ -28,11 +29,10 @@ def behavioural(candidates: DataFrame, scores: DataFrame) -> DataFrame:
 
 def network(candidates: DataFrame) -> DataFrame:
     """(candidate_ring_id, network): percent of candidates of strictly lower density; 50 for one
-    alone. Distinct densities are counted and added up, so no task sorts all candidates."""
+    alone. Distinct densities are counted and added up by ranges, so no task sorts all candidates."""
     per = candidates.groupBy("density").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("density").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = candidates.agg(F.count("*").alias("total"))
-    ranked = per.select("density", below.alias("below")).crossJoin(F.broadcast(total))  # one row
+    ranked = totals_before(per, "density", {"n": "below"}).select("density", "below").crossJoin(F.broadcast(total))  # one row
     value = F.when(F.col("total") < 2, 50.0).otherwise(100.0 * F.col("below") / F.col("total"))
     return candidates.join(ranked, "density").select("candidate_ring_id", value.alias("network"))
 

@@ -436,7 +436,7 @@ def ring_stage(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return scoring.score_candidates(fx.candidates(spark, sf_dir), fx.account_scores(spark, sf_dir))
+    return scoring.score_candidates(fx.kept(fx.candidates(spark, sf_dir), "candidates"), fx.account_scores(spark, sf_dir))
 
 
 @query
@@ -611,8 +611,8 @@ def _truth(spark, sf_dir):
     return a.select(F.col("alert_id").alias("truth_id"), F.col("participants").alias("accounts"), F.col("first_us").alias("start_us"), F.col("last_us").alias("end_us"), "transaction_ids")
 
 
-def _pairs(spark, sf_dir):
-    return leadtime.interval_pairs(fx.candidates(spark, sf_dir), _truth(spark, sf_dir))
+def _pairs(spark, sf_dir, candidates=None):
+    return leadtime.interval_pairs(fx.kept(fx.candidates(spark, sf_dir), "candidates") if candidates is None else candidates, _truth(spark, sf_dir))
 
 
 @over(fx.transfers)
@@ -641,19 +641,25 @@ def gt_best_truth(spark, sf_dir):
     return leadtime.best_match(_pairs(spark, sf_dir), "candidate_id").select("candidate_id", "truth_id", "match_type", "shared")
 
 
-def _risk(spark, sf_dir):
-    c = fx.candidates(spark, sf_dir)
-    events = fx.fans(spark, sf_dir).select(F.col("central_account").alias("candidate_id"), "window_id", "pattern_type")
+def _inputs(spark, sf_dir):
+    """Events and candidates, written once."""
+    e = fx.kept(fx.fans(spark, sf_dir), "fans")
+    return e, fx.kept(fx.candidates(spark, sf_dir, e), "candidates")
+
+
+def _risk(spark, sf_dir, inputs=None):
+    fans, c = inputs or _inputs(spark, sf_dir)
+    events = fans.select(F.col("central_account").alias("candidate_id"), "window_id", "pattern_type")
     fixed = c.select("candidate_id", F.size("accounts").alias("n_accounts")).join(scoring.behavioural(c, fx.account_scores(spark, sf_dir)).withColumnRenamed("candidate_ring_id", "candidate_id"), "candidate_id").join(scoring.network(c).withColumnRenamed("candidate_ring_id", "candidate_id"), "candidate_id")
     return leadtime.cumulative_risk(events, fixed)
 
 
 def _leads(spark, sf_dir):
-    tx = fx.transfers(spark, sf_dir)
-    match = leadtime.best_match(_pairs(spark, sf_dir)).select("truth_id", "candidate_id")
+    tx, inputs = fx.transfers(spark, sf_dir), _inputs(spark, sf_dir)
+    match = leadtime.best_match(_pairs(spark, sf_dir, inputs[1])).select("truth_id", "candidate_id")
     seen = windows.with_extent(_truth(spark, sf_dir), tx)
     observable = seen.select("truth_id", windows.window_of(F.col("end_us"), F.col("t0"), F.col("t1")).alias("observable_window"))
-    return leadtime.lead_times(match, leadtime.warning_window(_risk(spark, sf_dir), 30), observable)
+    return leadtime.lead_times(match, leadtime.warning_window(_risk(spark, sf_dir, inputs), 30), observable)
 
 
 @over(fx.transfers)
@@ -779,4 +785,6 @@ def demo_generator(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from ledgerlume.plans import whole  # noqa: F401, it registers its queries
+
     return dict(FOUND)

@@ -467,4 +467,6 @@ sql("api_alert_queue", "SELECT count(*) AS n, count(*) FILTER (WHERE risk_score
 
 
 def oracle_sql() -> dict[str, str]:
+    from ledgerlume.plans import whole  # noqa: F401, it adds its SQL
+
     return dict(SQL)
