@@ -49,12 +49,13 @@ def _with_extent(tx: DataFrame) -> DataFrame:
     return windows.with_extent(tx, tx).withColumn("us", micros("timestamp"))
 
 
-def layering_chains(tx: DataFrame, max_hops: int = 6, gap_hours: float = 24, tolerance: float = 0.3) -> DataFrame:
-    """The greedy chain of every transfer: (start, us, row_ord, hops: array of its transfers).
+def layering_chains(tx: DataFrame, max_hops: int = 6, gap_hours: float = 24, tolerance: float = 0.3, min_hops: int = 1) -> DataFrame:
+    """The greedy chain of every transfer, if it has min_hops or more: (start, hops: array of its
+    transfers, accounts).
 
     A round joins every open chain's end with the sends of that account in its own and the
     next time bucket of the length of the gap, and keeps the earliest that fits. Each round is a
-    checkpoint; few chains live past the first.
+    checkpoint of the chains that went on; few live past the first.
     """
     can_checkpoint(tx.sparkSession)
     gap = int(gap_hours * HOUR_US)
@@ -63,16 +64,17 @@ def layering_chains(tx: DataFrame, max_hops: int = 6, gap_hours: float = 24, tol
     sends = own.select(F.col("sender").alias("at"), F.floor(F.col("us") / gap).alias("bucket"), leg.alias("next"))
     chains = own.select(F.col("transaction_id").alias("start"), F.array(leg).alias("hops"), F.array("sender", "receiver").alias("accounts"))
     done = None
-    for _ in range(max_hops - 1):
+    for n in range(1, max_hops):
         last = F.element_at("hops", -1)
         b = F.floor(last["us"] / gap)
         open_ = chains.withColumn("at", last["receiver"]).withColumn("bucket", F.explode(F.array(b, b + 1)))
         fits = (F.col("next.us") > last["us"]) & (F.col("next.us") <= last["us"] + gap) & (F.col("next.amount") >= last["amount"] * (1 - tolerance)) & (F.col("next.amount") <= last["amount"] * 1.05) & ~F.array_contains("accounts", F.col("next.receiver"))
-        best = open_.join(sends, ["at", "bucket"]).where(fits).groupBy("start").agg(F.min("next").alias("next"))
-        grown = chains.join(best, "start", "left").checkpoint()
-        ended = grown.where("next is null").select("start", "hops", "accounts")
-        done = ended if done is None else done.unionByName(ended)
-        chains = grown.where("next is not null").select("start", F.concat("hops", F.array("next")).alias("hops"), F.concat("accounts", F.array("next.receiver")).alias("accounts"))
+        best = open_.join(sends, ["at", "bucket"]).where(fits).groupBy("start").agg(F.min("next").alias("next"), F.first("hops").alias("hops"), F.first("accounts").alias("accounts"))
+        grown = best.select("start", F.concat("hops", F.array("next")).alias("hops"), F.concat("accounts", F.array("next.receiver")).alias("accounts")).checkpoint()
+        if n >= min_hops:
+            ended = chains.join(grown.select("start"), "start", "left_anti")
+            done = ended if done is None else done.unionByName(ended)
+        chains = grown
     return chains if done is None else done.unionByName(chains)
 
 
@@ -86,17 +88,42 @@ def _unsuppressed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"start": keep})
 
 
-def layering(tx: DataFrame, size: str = "1d", min_hops: int = 3, max_hops: int = 6, gap_hours: float = 24, tolerance: float = 0.3) -> DataFrame:
-    """Chains of enough hops. A transfer of an emitted chain starts no later one; chains that share
-    no transfer can't suppress each other, so this fold runs apart for each connected group."""
-    long = layering_chains(tx, max_hops, gap_hours, tolerance).where(F.size("hops") >= min_hops)
-    flat = long.select("start", F.get("hops", 0)["us"].alias("us"), F.get("hops", 0)["row_ord"].alias("row_ord"), F.transform("hops", lambda h: h["transaction_id"]).alias("ids"))
-    links = flat.select("start", F.explode("ids").alias("id"))
-    group = weak_components(links, a="start", b="id")
-    dealt = flat.join(group, flat.start == group.node).select("component", "start", "us", "row_ord", "ids")
+def suppressed(flat: DataFrame, rounds: int = 12) -> DataFrame:
+    """(start) of chains that begin with a transfer of an earlier chain that stays.
+
+    flat: (start, us, row_ord, ids). Hops are strictly later than the start, so "holds the
+    start of" never leads back. A chain whose start no open chain holds stays, and what it
+    holds goes; each round settles all such chains at once. What is left after `rounds` is
+    folded in order, apart for each connected group.
+    """
+    can_checkpoint(flat.sparkSession)
+    starts = flat.select(F.col("start").alias("id"))
+    held = flat.select(F.col("start").alias("by"), F.explode("ids").alias("id")).where("by <> id")
+    edges = held.join(starts, "id").select("by", F.col("id").alias("start")).distinct().checkpoint()
+    gone = flat.sparkSession.createDataFrame([], flat.select("start").schema)
+    left = edges.limit(1).count()
+    while left and rounds:
+        stays = edges.select("by").distinct().join(edges.select(F.col("start").alias("by")).distinct(), "by", "left_anti").checkpoint()
+        now = edges.join(stays, "by").select("start").distinct().checkpoint()
+        rest = edges.join(stays, "by", "left_anti").join(now, "start", "left_anti").join(now.withColumnRenamed("start", "by"), "by", "left_anti")
+        gone, edges, rounds = gone.unionByName(now), rest.checkpoint(), rounds - 1
+        left = edges.limit(1).count()
+    if not left:
+        return gone
+    nodes = edges.select(F.explode(F.array("by", "start")).alias("start")).distinct()
+    group = weak_components(edges, a="by", b="start")
+    dealt = flat.join(nodes, "start", "left_semi").join(group, F.col("start") == group.node).select("component", "start", "us", "row_ord", "ids")
     kept = dealt.groupBy("component").applyInPandas(_unsuppressed, "start string")
-    ended = windows.with_extent(long.join(kept, "start"), tx)
-    n, first, last = F.size("hops"), F.get("hops", 0), F.element_at("hops", -1)
+    return gone.unionByName(nodes.join(kept, "start", "left_anti"))
+
+
+def layering(tx: DataFrame, size: str = "1d", min_hops: int = 3, max_hops: int = 6, gap_hours: float = 24, tolerance: float = 0.3) -> DataFrame:
+    """Chains of enough hops. A transfer of an emitted chain starts no later one."""
+    long = layering_chains(tx, max_hops, gap_hours, tolerance, min_hops).where(F.size("hops") >= min_hops).checkpoint()
+    first = F.get("hops", 0)
+    flat = long.select("start", first["us"].alias("us"), first["row_ord"].alias("row_ord"), F.transform("hops", lambda h: h["transaction_id"]).alias("ids"))
+    ended = windows.with_extent(long.join(suppressed(flat), "start", "left_anti"), tx)
+    n, last = F.size("hops"), F.element_at("hops", -1)
     window = windows.window_of(last["us"], F.col("t0"), F.col("t1"), size, size)
     strength = capped((n - min_hops + 1) / float(max_hops - min_hops + 1))
     kept_share = F.when(first["amount"] != 0, last["amount"] / first["amount"]).otherwise(0.0)
@@ -120,7 +147,7 @@ def split_merge(tx: DataFrame, size: str = "1d", window: str = "2d") -> DataFram
     or more pay one account. Both joins are on (account, time bucket).
 
     One event a sender is wanted, so a sender's anchors are tried in rounds, few at first and
-    four times as many each round; a sender that has its event takes part no more. A round is a
+    eight times as many each round; a sender that has its event takes part no more. A round is a
     checkpoint.
     """
     z = duration_us(window)
@@ -130,14 +157,14 @@ def split_merge(tx: DataFrame, size: str = "1d", window: str = "2d") -> DataFram
     sends = leg.withColumn("bucket", F.floor(F.col("us") / z))
     anchors = _spreading(leg, z).checkpoint()
     most = anchors.agg(F.max("n")).first()[0] or 0
-    first, low, high = None, 1, 2
+    first, low, high = None, 1, 4
     while first is None or low <= most:
         batch = anchors.where(F.col("n").between(low, high))
         if first is not None:
             batch = batch.join(first.select("source"), "source", "left_anti")
         met = _merging(batch, sends, z).checkpoint()
         first = met if first is None else first.unionByName(met)
-        low, high = high + 1, high * 4
+        low, high = high + 1, high * 8
     placed = windows.with_extent(first, tx)
     n = F.size("targets")
     return placed.select(*_event(

@@ -76,6 +76,26 @@ def test_split_merge_against_brute_force(spark, seed):
     assert got == want and want
 
 
+def test_suppression_against_the_fold(spark):
+    r = random.Random(5)
+    flat = []
+    for i in range(300):
+        later = sorted(r.sample(range(i + 1, i + 12), r.randrange(2, 5)))
+        flat.append((f"t{i}", i * 10, i, [f"t{i}", *[f"t{k}" for k in later]]))
+    flat = [x for x in flat if r.random() < 0.7]
+    used, want = set(), set()
+    for start, _, _, ids in flat:
+        if start in used:
+            want.add(start)
+        else:
+            used.update(ids)
+    df = spark.createDataFrame(flat, "start string, us long, row_ord long, ids array<string>").repartition(3)
+    for rounds in (0, 2, 100):
+        got = [x["start"] for x in patterns.suppressed(df, rounds).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+    assert patterns.suppressed(df.limit(0)).count() == 0
+
+
 def test_totals_before(spark):
     r = random.Random(1)
     values = sorted({r.choice([r.random(), r.random() * 1e-9, float(r.randrange(5))]) for _ in range(900)})
