@@ -179,29 +179,58 @@ def k_hop(tx: DataFrame, start: str, k: int = 2, direction: str = "out") -> Data
     return reached.where("hops > 0")
 
 
-def simple_paths(tx: DataFrame, source: str, target: str, max_length: int = 6) -> DataFrame:
-    """(path array, length): simple paths of at most max_length hops, length by length."""
-    p = pairs(tx).where("sender <> receiver")
-    current = p.where(F.col("sender") == source).select(F.array("sender", "receiver").alias("path"))
+#: Partial paths that one step of an enumeration may make; a dense graph has more than any
+#: cluster can list, and is refused before the step and not cut.
+MOST_PATHS = 250_000_000
+
+
+def _step(paths: DataFrame, edges: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Paths (keys, path) with each edge that leaves their end: (keys, path, receiver)."""
+    ends = paths.withColumn("tail", F.element_at("path", -1))
+    out = edges.withColumnRenamed("sender", "tail")
+    fan = ends.groupBy(*keys, "tail").agg(F.count("*").alias("n")).join(out.groupBy(*keys, "tail").agg(F.count("*").alias("m")), [*keys, "tail"])
+    n = fan.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    if n > most:
+        raise ValueError(f"the next step has {n} partial paths, and {most} are allowed (most_paths); take a shorter length or a graph of fewer edges, such as a window's")
+    return ends.join(out, [*keys, "tail"]).select(*keys, "path", "receiver")
+
+
+def simple_paths(tx: DataFrame, source: str, target: str, max_length: int = 6, most_paths: int = MOST_PATHS) -> DataFrame:
+    """(path array, length): simple paths of at most max_length hops, length by length; each
+    length is a checkpoint."""
+    can_checkpoint(tx.sparkSession)
+    p = pairs(tx).where("sender <> receiver").checkpoint()
+    current = p.where(F.col("sender") == source).select(F.array("sender", "receiver").alias("path")).checkpoint()
     out = current.where(F.element_at("path", -1) == target)
-    for _ in range(1, max_length):
-        current = current.where(F.element_at("path", -1) != target).withColumn("tail", F.element_at("path", -1))
-        current = current.join(p, F.col("tail") == p.sender).where(~F.array_contains("path", F.col("receiver"))).select(F.concat("path", F.array("receiver")).alias("path"))
+    for n in range(1, max_length):
+        last = p.where(F.col("receiver") == target) if n == max_length - 1 else p
+        grown = _step(current.where(F.element_at("path", -1) != target), last, [], most_paths)
+        current = grown.where(~F.array_contains("path", F.col("receiver"))).select(F.concat("path", F.array("receiver")).alias("path")).checkpoint()
         out = out.unionByName(current.where(F.element_at("path", -1) == target))
     return out.select("path", (F.size("path") - 1).alias("length"))
 
 
-def simple_cycles(tx: DataFrame, max_length: int = 6) -> DataFrame:
-    """(cycle array, length), each once, from its smallest account on, of 2 to max_length accounts."""
-    p = pairs(tx).where("sender <> receiver")
-    current = p.where("sender < receiver").select(F.array("sender", "receiver").alias("path"))
+def _closed(p: DataFrame, keys: list[str], max_length: int, most_paths: int) -> DataFrame:
+    """(keys, path) of each simple cycle, from its smallest account on. Paths of a length that an
+    edge closes are found by a join on both of their ends; each length is a checkpoint."""
+    current = p.where("sender < receiver").select(*keys, F.array("sender", "receiver").alias("path")).checkpoint()
     out = None
-    for _ in range(2, max_length + 1):
-        grown = current.withColumn("tail", F.element_at("path", -1)).join(p, F.col("tail") == p.sender)
-        closed = grown.where(F.col("receiver") == F.get("path", 0)).select(F.col("path").alias("cycle"))
+    for n in range(2, max_length + 1):
+        ends = current.select(*keys, "path", F.element_at("path", -1).alias("sender"), F.get("path", 0).alias("receiver"))
+        closed = ends.join(p, [*keys, "sender", "receiver"], "left_semi").select(*keys, "path")
         out = closed if out is None else out.unionByName(closed)
-        current = grown.where((F.col("receiver") > F.get("path", 0)) & ~F.array_contains("path", F.col("receiver"))).select(F.concat("path", F.array("receiver")).alias("path"))
-    return out.select("cycle", F.size("cycle").alias("length"))
+        if n < max_length:
+            grown = _step(current, p, keys, most_paths)
+            current = grown.where((F.col("receiver") > F.get("path", 0)) & ~F.array_contains("path", F.col("receiver"))).select(*keys, F.concat("path", F.array("receiver")).alias("path")).checkpoint()
+    return out
+
+
+def simple_cycles(tx: DataFrame, max_length: int = 6, *keys: str, most_paths: int = MOST_PATHS) -> DataFrame:
+    """(keys, cycle array, length), each once, from its smallest account on, of 2 to max_length
+    accounts. keys make one table many graphs."""
+    can_checkpoint(tx.sparkSession)
+    p = pairs(tx, *keys).where("sender <> receiver").checkpoint()
+    return _closed(p, list(keys), max_length, most_paths).select(*keys, F.col("path").alias("cycle"), F.size("path").alias("length"))
 
 
 def node_activity(tx: DataFrame) -> DataFrame:
@@ -240,17 +269,12 @@ def level_deltas(summary: DataFrame, columns: tuple[str, ...] = ("nodes", "trans
     return summary.select("window_id", *[(F.col(c) - F.lag(c).over(by)).alias(f"delta_{c}") for c in columns])
 
 
-def ring_cycles(tx: DataFrame, max_length: int = 8) -> DataFrame:
-    """(ring_id, n_cycles) among each ring's own accounts: edges inside one ring only."""
-    own = tx.where("ring_id <> ''")
-    member = nodes(own, "ring_id")
-    inside = tx.select("sender", "receiver").distinct().join(member.select(F.col("account_id").alias("sender"), F.col("ring_id").alias("r")), "sender").join(member.select(F.col("account_id").alias("receiver"), F.col("ring_id").alias("r")), ["receiver", "r"])
-    p = inside.where("sender <> receiver").select("r", "sender", "receiver").distinct()
-    current = p.where("sender < receiver").select("r", F.array("sender", "receiver").alias("path"))
-    out = None
-    for _ in range(2, max_length + 1):
-        grown = current.withColumn("tail", F.element_at("path", -1)).join(p.withColumnRenamed("sender", "tail"), ["r", "tail"])
-        closed = grown.where(F.col("receiver") == F.get("path", 0)).select("r")
-        out = closed if out is None else out.unionByName(closed)
-        current = grown.where((F.col("receiver") > F.get("path", 0)) & ~F.array_contains("path", F.col("receiver"))).select("r", F.concat("path", F.array("receiver")).alias("path"))
-    return out.groupBy(F.col("r").alias("ring_id")).agg(F.count("*").alias("n_cycles"))
+def ring_cycles(tx: DataFrame, max_length: int = 8, *keys: str, most_paths: int = MOST_PATHS) -> DataFrame:
+    """(keys, ring_id, n_cycles) among each ring's own accounts: edges inside one ring only."""
+    can_checkpoint(tx.sparkSession)
+    k = list(keys)
+    member = nodes(tx.where("ring_id <> ''"), *k, "ring_id")
+    of = lambda end: member.select(*k, F.col("account_id").alias(end), F.col("ring_id").alias("r"))
+    inside = pairs(tx, *k).join(of("sender"), [*k, "sender"]).join(of("receiver"), [*k, "receiver", "r"])
+    p = inside.where("sender <> receiver").select(*k, "r", "sender", "receiver").distinct().checkpoint()
+    return _closed(p, [*k, "r"], max_length, most_paths).groupBy(*k, F.col("r").alias("ring_id")).agg(F.count("*").alias("n_cycles"))

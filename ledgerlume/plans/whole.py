@@ -52,6 +52,36 @@ def feat_window_structure(tx):
     return rounded(centrality.by_window(tx).select("window_id", "account_id", "clustering_coefficient", "component_size"))
 
 
+@over(fx.transfers)
+def simple_cycles_windows(tx):
+    """Simple cycles of the graph of every window."""
+    return graph.simple_cycles(windows.tumbling(tx), 6, "window_id").select("window_id", F.array_join("cycle", ",").alias("cycle"), "length")
+
+
+cte("dp", "SELECT DISTINCT window_id, sender, receiver FROM w WHERE sender <> receiver")
+cte("dloop(window_id, p, tail, done)", """
+SELECT window_id, [sender, receiver], receiver, false FROM dp WHERE sender < receiver
+UNION ALL SELECT l.window_id, CASE WHEN receiver = p[1] THEN p ELSE list_append(p, receiver) END, receiver, receiver = p[1] FROM dloop l JOIN dp ON dp.window_id = l.window_id AND tail = sender WHERE NOT done AND len(p) <= 6 AND (receiver = p[1] OR (receiver > p[1] AND NOT list_contains(p, receiver)))
+""")
+sql("simple_cycles_windows", "SELECT window_id, array_to_string(p, ',') AS cycle, len(p)::INT AS length FROM dloop WHERE done AND len(p) <= 6")
+
+
+@over(fx.transfers)
+def ring_cycles_windows(tx):
+    """Cycles among each ring's accounts in the graph of every window of four days."""
+    return graph.ring_cycles(windows.tumbling(tx, "4d"), 8, "window_id")
+
+
+cte("w4", f"SELECT tx.*, ((us - t0) // {4 * DAY})::INT AS window_id FROM tx, ext")
+cte("m4", "SELECT DISTINCT window_id, ring_id AS r, unnest([sender, receiver]) AS a FROM w4 WHERE ring_id <> ''")
+cte("r4", "SELECT DISTINCT w4.window_id, x.r, sender, receiver FROM w4 JOIN m4 x ON x.window_id = w4.window_id AND x.a = sender JOIN m4 y ON y.window_id = w4.window_id AND y.a = receiver AND x.r = y.r WHERE sender <> receiver")
+cte("rloop4(window_id, r, p, tail, done)", """
+SELECT window_id, r, [sender, receiver], receiver, false FROM r4 WHERE sender < receiver
+UNION ALL SELECT l.window_id, l.r, CASE WHEN receiver = p[1] THEN p ELSE list_append(p, receiver) END, receiver, receiver = p[1] FROM rloop4 l JOIN r4 ON r4.window_id = l.window_id AND r4.r = l.r AND tail = sender WHERE NOT done AND len(p) <= 8 AND (receiver = p[1] OR (receiver > p[1] AND NOT list_contains(p, receiver)))
+""")
+sql("ring_cycles_windows", "SELECT window_id, r AS ring_id, count(*) AS n_cycles FROM rloop4 WHERE done AND len(p) <= 8 GROUP BY 1, 2")
+
+
 cte("fp", "SELECT sender, receiver, min(window_id) AS f FROM w GROUP BY 1, 2")
 cte("wp", "SELECT i::INT AS window_id, sender, receiver FROM (SELECT unnest(generate_series(0, hi)) AS i FROM lastw) JOIN fp ON f <= i")
 cte("wn", "SELECT DISTINCT window_id, unnest([sender, receiver]) AS v FROM wp")
