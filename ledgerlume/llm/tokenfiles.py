@@ -44,11 +44,11 @@ MAGIC = b"LLPLANE1"
 TAIL = "<5Q3I"
 #: Pieces of a generation whose ids a worker remembers, and what their texts and ids may take.
 REMEMBERED = 200_000
-REMEMBERED_BYTES = 56 << 20
+REMEMBERED_BYTES = 20 << 20
 #: A longer piece is text without spaces; it does not come again and is not remembered.
 LONG_PIECE = 48
 #: Texts of which the different pieces are told apart together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -307,6 +307,7 @@ def _chunks(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
             held, size = [], 0
     if held:
         yield joined()
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool):
