@@ -123,19 +123,65 @@ def tarjan(edges: list[tuple[str, str]]) -> dict[str, str]:
     return found
 
 
+def strong_one(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, component) of one graph of any size, by joins alone: each node takes the largest
+    label that reaches it; a label's own component is what leads back to its node inside the
+    label; those components leave the graph and the rest goes on. Every round is a checkpoint.
+    """
+    can_checkpoint(edges.sparkSession)
+    every = nodes(edges).select(F.col("account_id").alias("node"))
+    live = pairs(edges).where("sender <> receiver").toDF("u", "v").checkpoint()
+    found = None
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0))).first())
+
+    for _ in range(rounds):
+        while (before := live.count()):  # what nothing leads to, or leads nowhere, is a component of its own
+            live = live.join(live.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(live.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v").checkpoint()
+            if live.count() == before:
+                break
+        if not before:
+            break
+        label = live.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("top", F.col("x")).checkpoint()
+        seen = None
+        while seen != (now := state(label)):
+            seen = now
+            come = live.join(label.withColumnRenamed("x", "u"), "u").groupBy(F.col("v").alias("x")).agg(F.max("top").alias("got"))
+            label = label.join(come, "x", "left").select("x", F.greatest("top", F.coalesce("got", "top")).alias("top")).checkpoint()
+        inside = live.join(label.toDF("u", "tu"), "u").join(label.toDF("v", "tv"), "v").where("tu = tv").select("u", "v").checkpoint()
+        back = label.where("x = top").checkpoint()
+        n = 0
+        while n != (now := back.count()):
+            n = now
+            more = inside.join(back.withColumnRenamed("x", "v"), "v").select(F.col("u").alias("x"), "top")
+            back = back.unionByName(more).distinct().checkpoint()
+        found = back if found is None else found.unionByName(back)
+        gone = back.select("x").checkpoint()
+        live = live.join(gone.withColumnRenamed("x", "u"), "u", "left_anti").join(gone.withColumnRenamed("x", "v"), "v", "left_anti").select("u", "v").checkpoint()
+    else:
+        raise RuntimeError(f"strong components did not settle in {rounds} rounds")
+    if found is None:
+        return every.withColumn("component", F.col("node"))
+    least = found.groupBy("top").agg(F.min("x").alias("component"))
+    named = found.join(least, "top").select(F.col("x").alias("node"), "component")
+    return every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, node, component), one task for each graph: for windows and other graphs whose
-    collapsed pairs fit a task. The graphs are spread over the cluster."""
-    k = list(keys) or ["__g"]
-    own = pairs(edges if keys else edges.withColumn("__g", F.lit(0)), *k)
+    """(keys, node, component). Of many graphs, such as windows, each is a task and its collapsed
+    pairs must fit there; without keys the one graph is solved by joins."""
+    if not keys:
+        return strong_one(edges)
+    k = list(keys)
+    own = pairs(edges, *k)
     kinds = ", ".join(f"{c} {t}" for c, t in own.dtypes if c in k)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = tarjan(list(zip(pdf["sender"], pdf["receiver"], strict=True)))
         return pd.DataFrame({**dict(zip(k, key, strict=True)), "node": list(found), "component": list(found.values())})
 
-    out = own.groupBy(*k).applyInPandas(solve, f"{kinds}, node string, component string")
-    return out if keys else out.drop("__g")
+    return own.groupBy(*k).applyInPandas(solve, f"{kinds}, node string, component string")
 
 
 def components(edges: DataFrame, *keys: str, kind: str = "weak") -> DataFrame:

@@ -299,7 +299,7 @@ def feat_clustering(tx):
 
 @over(fx.transfers)
 def feat_centrality(tx):
-    return rounded(centrality.by_window(tx, "1d", 20))
+    return rounded(centrality.by_window(tx))
 
 
 # --- patterns
@@ -406,9 +406,10 @@ def event_components_all(spark, sf_dir):
 
 
 def _trajectories(spark, sf_dir):
+    """Trajectories of every detector's events."""
     tx = fx.transfers(spark, sf_dir)
-    events = fx.fans(spark, sf_dir).unionByName(patterns.layering(tx)).unionByName(patterns.repeated_intermediary(tx)).unionByName(patterns.split_merge(tx))
-    return tx, episodes.trajectories(events)
+    events = patterns.detect_all(tx, features=ft.change_features(ft.degree_features(tx)))
+    return tx, episodes.trajectories(fx.kept(events, "events"))
 
 
 @query
@@ -479,7 +480,9 @@ def evidence_records(spark, sf_dir):
 @query
 def forensic_explanations(spark, sf_dir):
     tx, t = _trajectories(spark, sf_dir)
-    return evidence.explanations(rings.ring_candidates(t, tx))
+    found = fx.kept(rings.ring_candidates(t, tx), "rings")
+    scored = scoring.score_candidates(found.withColumns({"event_count": F.col("evidence_event_count"), "density": F.col("network_statistics.density")}), fx.account_scores(spark, sf_dir))
+    return evidence.explanations(found, scored)
 
 
 # --- labels, metrics, models

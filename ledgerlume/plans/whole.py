@@ -397,6 +397,18 @@ def _everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return tx, kept(patterns.detect_all(tx, features=rising), "events")
 
 
+@over(fx.transfers)
+def pattern_circular_flow_all(tx):
+    """Cycles of the detector's own length and days, from every account."""
+    return fx.flat(patterns.circular_flow(tx))
+
+
+@query
+def pattern_event_log_all(spark, sf_dir):
+    """Events of all detectors by type and window."""
+    return fx.flat(_everything(spark, sf_dir)[1]).groupBy("pattern_type", "window_id").agg(F.count("*").alias("n"), half_up(F.sum("pattern_strength"), 4).alias("strength"))
+
+
 @query
 def detect_all_summary(spark, sf_dir):
     """All eight detectors with their defaults, cycles from participants of structural events."""

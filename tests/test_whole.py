@@ -96,6 +96,40 @@ def test_suppression_against_the_fold(spark):
     assert patterns.suppressed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_circular_flow_against_brute_force(spark, seed):
+    rows = moves(seed, 70, 7, 25)
+    sends = {}
+    for i, x in enumerate(rows):
+        sends.setdefault(x[0], []).append((us(x), i))
+    want = set()
+
+    def walk(path, accounts, deadline):
+        last = rows[path[-1]]
+        later = [(t, k) for t, k in sorted(sends.get(last[1], [])) if t > us(last)][:5]
+        for t, k in later:
+            if t > deadline:
+                continue
+            if rows[k][1] == accounts[0]:
+                want.add(tuple(f"t{i}" for i in (*path, k)))
+            elif rows[k][1] not in accounts and len(accounts) < 6:
+                walk([*path, k], [*accounts, rows[k][1]], deadline)
+
+    for i, x in enumerate(rows):
+        walk([i], [x[0], x[1]], us(x) + 7 * DAY_US)
+    got = patterns.circular_flow(table(spark, rows)).collect()
+    assert sorted(tuple(e["transaction_ids"]) for e in got) == sorted(want) and max(map(len, want)) > 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_of_one_graph(spark, seed):
+    r = random.Random(seed)
+    edges = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(r.choice([25, 40, 70]))] + [(f"c{i}", f"c{(i + 1) % 12}") for i in range(12)] + [(f"p{i}", f"p{i + 1}") for i in range(9)] + [("c3", "p0"), ("s", "s")]
+    df = spark.createDataFrame(edges, "sender string, receiver string")
+    got = {x["node"]: x["component"] for x in graph.strong_components(df).collect()}
+    assert got == graph.tarjan(edges)
+
+
 def test_totals_before(spark):
     r = random.Random(1)
     values = sorted({r.choice([r.random(), r.random() * 1e-9, float(r.randrange(5))]) for _ in range(900)})
@@ -207,7 +241,7 @@ def test_store(spark, tmp_path):
         sinks.load_store(spark, "ledgerlume_test", {"model_runs": runs}, str(tmp_path / "store"))
         sinks.load_store(spark, "ledgerlume_test", {"lead_times": lead})
         assert spark.table("ledgerlume_test.model_runs").count() == 0 and spark.table("ledgerlume_test.lead_times").first()["warning_window"] == 1
-        assert {t.name for t in spark.catalog.listTables("ledgerlume_test")} == set(sinks.STORE)
+        assert {t.name for t in spark.catalog.listTables("ledgerlume_test") if not t.isTemporary} == set(sinks.STORE)
     finally:
         spark.sql("DROP DATABASE IF EXISTS ledgerlume_test CASCADE")
 
