@@ -16,8 +16,8 @@ Defined results: the target is labelled quality 1 and not toxic, `target_rows` i
 chosen by hash of the id, a bound on the fitting sample. Counts of raw text cover all rows.
 Texts without n-grams (null, empty, spaces) have weight zero (log weight null, never
 selected). Ties at the k-th place are all selected, as are rows equal in id and text
-together. Without labels or documents the ratio is one. Other columns are not
-looked at.
+together. Without labels or documents the ratio is one. Ids are cast to long. Other columns
+are not looked at.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Plan: one shuffle of the texts by range of the id, then every task encodes its r
 streams it to one file: memory holds a chunk of texts, its ids, and a block of ids. The file appears
 under its name by a rename, so a repeated or speculative task leaves one whole shard.
 
-Defined results: a null text is empty and has the end id alone. Null ids come first. Rows of
+Defined results: a null text is empty and has the end id alone. Ids are cast to long; null ids
+come first. Rows of
 one id are ordered by a hash of the text; equal rows each have an entry. An empty table gives
 no shard with documents and no rows. Other columns are not looked at.
 """
