@@ -2,9 +2,11 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 
+from ledgerlume.operators import graph
 from ledgerlume.plans import catalog, fixtures
 
 
@@ -58,3 +60,35 @@ def test_event_components_reach_all_windows(spark, sf):
     events = fixtures.fans(spark, sf).count()
     got = catalog.queries()["event_components_all"](spark, sf).collect()
     assert sum(r["n"] * r["n_components"] for r in got) == events > fixtures.fans(spark, sf).where("window_id < 3").count()
+
+
+def layers(n, width):
+    """Edges from each account of a layer to each of the next, layer after layer."""
+    return [(f"l{i}_{a:02}", f"l{i + 1}_{b:02}") for i in range(n - 1) for a in range(width) for b in range(width)]
+
+
+def test_paths_of_a_graph_with_many_partial_ones(spark):
+    edges = [e for e in layers(5, 49) if e[1] != "l4_00"] + [("s", f"l0_{a:02}") for a in range(49)] + [("l3_07", "l4_00"), ("l4_00", "t"), ("s", "t")]
+    tx = spark.createDataFrame(edges, "sender string, receiver string")
+    got = graph.simple_paths(tx, "s", "t")  # the fifth hop alone has 49 ** 4 * 48 ways, or 276,710,448, and more
+    assert got.groupBy("length").count().orderBy("length").collect() == [(1, 1), (6, 49**3)]
+    assert got.distinct().count() == 49**3 + 1
+    assert graph.simple_paths(tx, "s", "s").count() == 0 == graph.simple_paths(tx, "t", "s").count()
+
+
+def test_halves_that_meet_against_brute_force(spark):
+    r = random.Random(5)
+    for longest in (1, 2, 3, 4, 5, 7):
+        nodes = [f"n{i}" for i in range(7)]
+        edges = {(a, b) for a in nodes for b in nodes if a != b and r.random() < 0.5}
+        tx = spark.createDataFrame([*edges, ("n0", "n0")], "sender string, receiver string")
+        paths = {("n0", *p, "n1") for n in range(longest) for p in itertools.permutations(nodes[2:], n)}
+        got = [tuple(x["path"]) for x in graph.simple_paths(tx, "n0", "n1", longest).collect()]
+        assert sorted(got) == sorted(p for p in paths if all(e in edges for e in zip(p, p[1:], strict=False)))
+
+
+def test_hot_ends_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 7)
+    tx = spark.createDataFrame([e for i in range(9) for e in (("s", f"a{i}"), (f"a{i}", "hot"), ("hot", f"b{i}"), (f"b{i}", "t"))], "sender string, receiver string")
+    got = graph.simple_paths(tx, "s", "t")
+    assert got.count() == got.distinct().count() == 81 and got.first()["length"] == 4
