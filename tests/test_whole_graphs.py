@@ -92,3 +92,34 @@ def test_hot_ends_are_dealt_to_many_tasks(spark, monkeypatch):
     tx = spark.createDataFrame([e for i in range(9) for e in (("s", f"a{i}"), (f"a{i}", "hot"), ("hot", f"b{i}"), (f"b{i}", "t"))], "sender string, receiver string")
     got = graph.simple_paths(tx, "s", "t")
     assert got.count() == got.distinct().count() == 81 and got.first()["length"] == 4
+
+
+def brute_cycles(edges, longest):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+
+    def grow(path):
+        for y in out.get(path[-1], ()):
+            if y == path[0]:
+                yield tuple(path)
+            elif y > path[0] and y not in path and len(path) < longest:
+                yield from grow([*path, y])
+
+    return sorted(p for a in out for p in grow([a]))
+
+
+def test_cycles_of_a_graph_with_many_partial_paths(spark):
+    tx = spark.createDataFrame([*layers(6, 26), ("l5_03", "l0_05")], "sender string, receiver string")
+    got = graph.simple_cycles(tx)  # 26 ** 6 paths of six accounts, or 308,915,776, and one edge back
+    assert got.groupBy("length").count().collect() == [(6, 26**4)] and got.distinct().count() == 26**4
+
+
+def test_cycles_of_many_graphs_against_brute_force(spark):
+    r, rows = random.Random(6), []
+    for w in range(4):
+        rows += [(w, f"n{a}", f"n{b}") for a in range(8) for b in range(8) if r.random() < (0.2, 0.4, 0.7, 0.0)[w]]
+    tx = spark.createDataFrame(rows, "window_id int, sender string, receiver string")
+    for longest in (2, 3, 5, 6):
+        got = [(x["window_id"], tuple(x["cycle"])) for x in graph.simple_cycles(tx, longest, "window_id").collect()]
+        assert sorted(got) == [(w, c) for w in range(4) for c in brute_cycles({(a, b) for v, a, b in rows if v == w and a != b}, longest)]
