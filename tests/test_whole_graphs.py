@@ -2,11 +2,12 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
 
-from ledgerlume.operators import graph
+from ledgerlume.operators import cyclecount, graph
 from ledgerlume.plans import catalog, fixtures
 
 
@@ -123,3 +124,23 @@ def test_cycles_of_many_graphs_against_brute_force(spark):
     for longest in (2, 3, 5, 6):
         got = [(x["window_id"], tuple(x["cycle"])) for x in graph.simple_cycles(tx, longest, "window_id").collect()]
         assert sorted(got) == [(w, c) for w in range(4) for c in brute_cycles({(a, b) for v, a, b in rows if v == w and a != b}, longest)]
+
+
+def test_cycles_of_a_dense_ring(spark):
+    edges = [(f"a{i:02}", f"a{j:02}", "R") for i in range(24) for j in range(24) if i != j]
+    got = graph.ring_cycles(spark.createDataFrame(edges, "sender string, receiver string, ring_id string"))
+    assert got.collect() == [("R", sum(math.comb(24, k) * math.factorial(k - 1) for k in range(2, 9)))]
+
+
+def test_cycle_counts_by_matrices_residues_and_joins(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(w, f"{g}{a}", f"{g}{b}", g) for w in range(2) for g, n, share in (("p", 8, 0.9), ("q", 9, 0.5), ("r", 7, 0.2), ("s", 3, 0.6)) for a in range(n) for b in range(n) if r.random() < share]
+    tx = spark.createDataFrame(rows, "window_id int, sender string, receiver string, ring_id string")
+    for longest in (2, 4, 8):
+        want = {(w, g): len(brute_cycles({(a, b) for v, a, b, h in rows if (v, h) == (w, g) and a != b}, longest)) for w in range(2) for g in "pqrs"}
+        want = {k: n for k, n in want.items() if n}
+        for most in (4096, 8, 1) if longest == 4 else (4096,):
+            assert {(x["window_id"], x["ring_id"]): x["n_cycles"] for x in graph.ring_cycles(tx, longest, "window_id", most=most).collect()} == want
+        monkeypatch.setattr(cyclecount, "EXACT", 0)
+        assert {(w, g): n for w, g in want if (n := cyclecount.simple_cycles(sorted({(a, b) for v, a, b, h in rows if (v, h) == (w, g) and a != b}), longest))} == want
+        monkeypatch.undo()
