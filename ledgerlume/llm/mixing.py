@@ -9,11 +9,10 @@ its next block would be released; the others then go on with their weights among
 
 Plan: documents are ranked inside (source, hash range) groups of about `group_rows` rows, so
 that a source with a third of all rows is many groups; group sizes add up to offsets. The
-driver works out a slot for each block from the counts alone. Up to `map_runs` blocks meet their
-slots in a broadcast join; the slots of more are written to the shared folder in parts as they
-are worked out, and meet their blocks in a join on (source, block). Of more than `max_runs`
-blocks, equally long runs of blocks are scheduled in their place, so the driver's work stays
-bounded and a source is within less than one run of its share.
+slot of each block follows from the counts alone. Up to `map_runs` and `max_runs` blocks the
+driver works the slots out, and a broadcast join brings them to the blocks; of more, one task
+works out the same slots, streams them to the shared folder, and they meet their blocks in a join
+on (source, block). That task takes time in proportion to the blocks and holds a batch of them.
 
 Defined results: the order inside a source is that of md5 of the id. A null source is the
 source "". Repeated rows each have a place. Sources without documents, or a weight of zero,
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlume.llm.shared import new_folder, written
+from ledgerlume.llm.shared import written
 
 
 def served(weights: dict[str, int], n: int) -> Iterator[str]:
@@ -169,44 +168,40 @@ def left_out(docs: DataFrame, weights=shares, *, source_col: str = "source", mis
     return {s: n - held[s] for s, n in counts.items() if n > held[s]}
 
 
-def _runs(blocks: dict[str, int], mixed: dict[str, int], targets: dict[str, float], run: int) -> Iterator[tuple[str, int, int, int]]:
-    """(source, its run, the run's first block, its first slot): those in the mix, then the rest."""
-    at, done, runs = 0, dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0)
+def _places(blocks: dict[str, int], mixed: dict[str, int], targets: dict[str, float]) -> Iterator[tuple[str, int, int]]:
+    """(source, its block, the block's slot): those in the mix, then the rest."""
+    at, done = 0, dict.fromkeys(blocks, 0)
     for until in (mixed, blocks):
-        for s in slots({s: -(-(n - done[s]) // run) for s, n in until.items()}, targets):
-            n = min(run, until[s] - done[s])
-            yield s, runs[s], done[s], at
-            at, done[s], runs[s] = at + n, done[s] + n, runs[s] + 1
-
-
-def _slot_table(docs: DataFrame, rows: Iterator[tuple[str, int, int, int]], map_runs: int) -> DataFrame:
-    """The rows as a table: a broadcast one if they are few, else written part by part, so that
-    the driver holds one part."""
-    spark, schema = docs.sparkSession, "src string, run long, first long, at long"
-    part = list(itertools.islice(rows, map_runs))
-    more = list(itertools.islice(rows, map_runs))
-    if not more:
-        return F.broadcast(spark.createDataFrame(part, schema))
-    path = new_folder(spark, "slots")
-    while part:
-        columns = zip(("src", "run", "first", "at"), zip(*part, strict=True), strict=True)
-        spark.createDataFrame(pa.table(dict(columns))).write.mode("append").parquet(path)
-        part, more = more, list(itertools.islice(rows, map_runs))
-    return spark.read.schema(schema).parquet(path)
+        for s in slots({s: n - done[s] for s, n in until.items()}, targets):
+            yield s, done[s], at
+            at, done[s] = at + 1, done[s] + 1
+
+
+def _slot_table(docs: DataFrame, blocks: dict[str, int], mixed: dict[str, int], targets: dict[str, float], most: int) -> DataFrame:
+    """The places as a table: up to `most` a broadcast one, else one written by a task."""
+    spark, schema = docs.sparkSession, "src string, block long, slot long"
+    if sum(blocks.values()) <= most:
+        return F.broadcast(spark.createDataFrame(list(_places(blocks, mixed, targets)), schema))
+
+    def work(_):
+        kinds = pa.schema([("src", pa.string()), ("block", pa.int64()), ("slot", pa.int64())])
+        places = _places(blocks, mixed, targets)
+        while part := list(itertools.islice(places, 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(work, schema), "slots")
 
 
 def mix_sources(docs: DataFrame, weights=shares, *, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 8, missing: float = 0.05, group_rows: int = 2000, max_sources: int = 2000, map_runs: int = 1 << 17, max_runs: int = 1 << 23) -> DataFrame:
     """Per document row: its id, source, block (of the source), slot, place (in the block) and
-    in_mix. weights: a dict, or a function from document counts to one."""
+    in_mix. weights: a dict, or a function from document counts to one. map_runs and max_runs only
+    say who works out the slots: the results do not depend on them."""
     counts, targets, mixed, ranked = _planned(docs, weights, id_col, source_col, block_docs, missing, group_rows, max_sources)
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    run = max(1, -(-sum(blocks.values()) // max_runs))
-    table = _slot_table(docs, _runs(blocks, mixed, targets, run), map_runs)
-    ends = docs.sparkSession.createDataFrame([(s, n, -(-n // run)) for s, n in mixed.items()], "src string, mixed long, mixed_runs long")
+    table = _slot_table(docs, blocks, mixed, targets, min(map_runs, max_runs))
+    ends = docs.sparkSession.createDataFrame(list(mixed.items()), "src string, mixed long")
     placed = ranked.withColumn("block", F.floor(F.col("rank") / block_docs)).join(F.broadcast(ends), "src").withColumn("in_mix", F.col("block") < F.col("mixed"))
-    placed = placed.withColumn("run", F.when(F.col("in_mix"), F.floor(F.col("block") / run)).otherwise(F.col("mixed_runs") + F.floor((F.col("block") - F.col("mixed")) / run)))
-    slot = F.col("at") + F.col("block") - F.col("first")
-    return placed.join(table, ["src", "run"]).select(F.col("id").alias(id_col), F.col("src").alias("source"), "block", slot.alias("slot"), (F.col("rank") % block_docs).cast("long").alias("place"), "in_mix")
+    return placed.join(table, ["src", "block"]).select(F.col("id").alias(id_col), F.col("src").alias("source"), "block", "slot", (F.col("rank") % block_docs).cast("long").alias("place"), "in_mix")
 
 
 def mixed_documents(docs: DataFrame, weights=shares, *, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 8, missing: float = 0.05, group_rows: int = 2000, max_sources: int = 2000) -> DataFrame:

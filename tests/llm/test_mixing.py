@@ -64,6 +64,16 @@ def test_slots_in_parts_are_those_of_one_broadcast(spark, frame):
     assert sorted(mixing.mix_sources(docs, weights, map_runs=50).collect()) == want and len(want) == 2000
 
 
+def test_slots_do_not_depend_on_the_number_of_blocks(spark, frame):
+    docs = frame([(i, f"t{i}", r) for i, r in enumerate(random.Random(3).choices(["a", "b", "c", None], [8, 3, 2, 1], k=1500))])
+    for weights in (mixing.shares, {"a": 1, "b": 2, "c": 1.5}):
+        want = sorted(mixing.mix_sources(docs, weights).collect())
+        assert sorted(mixing.mix_sources(docs, weights, max_runs=20).collect()) == want and len(want) == 1500
+    targets = Counter(r["source"] or "" for r in docs.collect())
+    order = [s for _, s in sorted({(r["slot"], r["source"]) for r in mixing.mix_sources(docs, max_runs=1).collect()})]
+    within_a_block(order[: min(len(order) - 1 - order[::-1].index(s) for s in targets) + 1], targets)
+
+
 def test_names_of_the_operator_may_be_columns(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2], 1, 2, 3) for i in range(60)], "doc_id long, text string, source string, __src int, __last int, last int")
     kept = mixing.mixed_documents(docs, {"a": 1, "b": 1})
