@@ -2,16 +2,25 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result
 is written as Parquet and read again as the next one's docs. Columns beside those of documents
-go through the first four stages as they are, whatever their names.
+go through the first four stages as they are, whatever their names, but for the two of ORDER:
+`run` adds them, source_mix fills them and token_output writes the documents in their order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlume.llm import decontaminate, mixing, quality, queries, simhash, tokenfiles
 from ledgerlume.llm.shared import new_folder
 
+#: Slot and place of a document in the mix, null before source_mix. Those of the table are replaced.
+ORDER = ("mix_slot", "mix_place")
+
+
+def ordered(docs: DataFrame) -> bool:
+    return set(ORDER) <= set(docs.columns)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others lose the lines that are above the limits of
@@ -43,23 +52,26 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix. The target weights are the sources' shares, so all stay.
+    """The documents of the mix. The target weights are the sources' shares, so all stay, and
+    where docs have the columns of ORDER these hold the places at which training meets them.
 
-    A null source is the source "". Texts are not looked at; repeated rows and ids, null ones
-    too, each have their place.
+    A null source is the source "". Rows of one id, or of none, have places by their texts; rows
+    equal in id, text and source share one. Without the columns of ORDER texts are not looked at.
     """
-    return mixing.mixed_documents(docs)
+    return mixing.ordered_documents(docs, order=ORDER) if ordered(docs) else mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in shards; a row for each document that the files hold, in the columns doc_id,
-    start, n_tokens and ids_crc32.
+    start, n_tokens and ids_crc32. The files hold the documents in the order of the mix where docs
+    have the columns of ORDER, else in that of the ids.
 
-    A null or empty text has the end id alone. Null ids come first; rows that share an id each
+    A null or empty text has the end id alone. Null ids come first, and so do null places; rows that share an id each
     have an entry. An empty table gives no rows.
     """
     folder = new_folder(spark, "corpus-tokens")
-    return tokenfiles.read_shards(tokenfiles.write_shards(docs, folder, queries.tokenizer_path()), folder, digest=True)
+    shards = tokenfiles.write_shards(docs, folder, queries.tokenizer_path(), order=ORDER if ordered(docs) else ())
+    return tokenfiles.read_shards(shards, folder, digest=True)
 
 
 STAGES = [
@@ -75,7 +87,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit(None).cast("long") for c in ORDER})
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:

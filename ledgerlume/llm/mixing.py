@@ -215,3 +215,19 @@ def mixed_documents(docs: DataFrame, weights=shares, *, id_col: str = "doc_id",
     own = dict(zip(docs.columns, names, strict=True))
     joined = docs.toDF(*names).join(F.broadcast(cut), (_source(own[source_col]) == F.col("src")) & (_rank_key(own[id_col]) <= F.col("last")))
     return joined.select(*names).toDF(*docs.columns)
+
+
+def ordered_documents(docs: DataFrame, weights=shares, *, order: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> DataFrame:
+    """The documents that are in the mix, with all their columns; those of order hold the slot and
+    the place of each. Rows are told apart by id, text and source; equal ones have one place. The
+    order inside a source is that of md5 of (id, hash of the text), so rows of one id, or of
+    none, are spread. limits: as of mix_sources."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).withColumns({"__src": _source(own[source_col]), "__row": F.struct(F.col(own[id_col]).alias("id"), F.xxhash64(own[text_col]).alias("hash"))})
+    keys = written(rows.select(F.col("__row").alias("row"), F.col("__src").alias("source")), "keys")
+    mix = mix_sources(keys, weights, id_col="row", source_col="source", **limits).where("in_mix")
+    at = mix.groupBy("row", "source").agg(F.min(F.struct("slot", "place")).alias("at")).select("at", *[F.col(x).alias(y) for x, y in (("row.id", "id"), ("row.hash", "hash"), ("source", "of"))])
+    same = F.col("__row.id").eqNullSafe(F.col("id")) & (F.col("__row.hash") == F.col("hash")) & (F.col("__src") == F.col("of"))
+    given = {own[order[0]]: F.col("at.slot"), own[order[1]]: F.col("at.place")}
+    return rows.join(at, same).withColumns(given).select(*names).toDF(*docs.columns)

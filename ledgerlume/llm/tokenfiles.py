@@ -1,6 +1,7 @@
 """Token ids in binary shards by bit-plane shuffling.
 
-A shard holds the ids of a run of documents in ascending order. Blocks of a fixed number of
+A shard holds the ids of a run of documents, in ascending order of their ids or in the order that
+other columns of the table give. Blocks of a fixed number of
 ids are transposed into byte or bit planes, each plane is compressed with zstandard, and a
 chunk index in the footer gives every block's place, so any id can be read by one seek.
 
@@ -10,14 +11,15 @@ other); the chunk index, per block uint64 place, uint32 ids, then uint32 bytes o
 the tail (uint64 place and bytes of the table, uint64 place of the index, uint64 documents,
 uint64 ids, uint32 blocks, uint32 block size, uint32 planes); magic.
 
-Plan: one shuffle of the texts by range of the id, then every task encodes its run and
+Plan: one shuffle of the texts by range of that order, then every task encodes its run and
 streams it to one file: memory holds a chunk of texts, its ids, and a block of ids. The file appears
 under its name by a rename, so a repeated or speculative task leaves one whole shard.
 
 Defined results: a null text is empty and has the end id alone. Ids are cast to long; null ids
 come first. Rows of
 one id are ordered by a hash of the text; equal rows each have an entry. An empty table gives
-no shard with documents and no rows. Other columns are not looked at.
+no shard with documents and no rows. Columns of an order come before the id, nulls first; others
+are not looked at.
 """
 
 from __future__ import annotations
@@ -332,17 +334,19 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
     return write
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 16, bits: bool = False, shard_bytes: int = 16 << 20, most_shards: int = 20_000) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 16, bits: bool = False, shard_bytes: int = 16 << 20, most_shards: int = 20_000, order: tuple[str, ...] = ()) -> DataFrame:
     """Writes the shards and returns their table: shard, n_docs, n_ids and start, the ids in
-    all shards before. shard_bytes: of text for one shard, about; more where there would be more
+    all shards before. order: columns by which the documents are written, before their id.
+    shard_bytes: of text for one shard, about; more where there would be more
     than most_shards, which bounds the table (a row for each shard comes to the driver)."""
     spark = docs.sparkSession
     short_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("body"))
+    by = [f"by{i}" for i in range(len(order))]
+    own = docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("body"), *[F.col(c).alias(b) for c, b in zip(order, by, strict=True)])
     total = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = min(most_shards, max(1, -(-total // shard_bytes)))
     tie = F.xxhash64("body")
-    dealt = own.repartitionByRange(n, F.col("name"), tie).sortWithinPartitions("name", tie)
+    dealt = own.repartitionByRange(n, *by, F.col("name"), tie).sortWithinPartitions(*by, "name", tie).select("name", "body")
     rows = dealt.mapInArrow(_writer(folder, tokenizer, end_id, block_ids, bits), "shard long, n_docs long, n_ids long").collect()
     table, start = [], 0
     for r in sorted(rows):
