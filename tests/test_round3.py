@@ -4,10 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlume.functions.columns import DAY_US
 from ledgerlume.functions.config import Settings
-from ledgerlume.operators import patterns, scoring, timeslices
+from ledgerlume.operators import graph, models, patterns, scoring, timeslices
 from ledgerlume.plans import catalog
 from tests.helpers import at, table
 
@@ -103,3 +104,28 @@ def test_split_merge_over_slices(spark, seed, n, accounts, block):
     assert sorted(got) == want and got
     one = [e for b in timeslices.merges(whole_slice(rows), 2 * DAY_US, block) for e in b.to_pylist()]
     assert [(e["source"], e["t"], tuple(dict.fromkeys(e["rows"] + e["ids"]))) for e in one] == [x[:3] for x in want]
+
+
+def test_models_read_their_features_from_one_evaluation(spark, monkeypatch):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i // 30, f"a{i}", int(i % 3 == 0), float(i % 7), ("train", "test")[i // 200]) for i in range(300)], "window_id int, account_id string, y int, f double, split string")
+    marked = rows.withColumn("f", F.udf(seen, "double")("f"))
+    monkeypatch.setattr(catalog, "_model_table", lambda spark, folder: marked)
+    assert catalog._modelled(models.Behavioural(("f",)))(spark, "").count() == 100
+    assert n.value == 300
+    n.value = 0
+    assert models.compare(marked, {"b": models.Behavioural(("f",))}).count() == 1
+    assert n.value == 300
+
+
+def test_stats_of_one_graph_are_joins(spark, monkeypatch):
+    called = []
+    plain = graph.strong_one
+    monkeypatch.setattr(graph, "strong_one", lambda edges: called.append(1) or plain(edges))
+    r = graph.stats(table(spark, [("a", "b", 1, at(0)), ("b", "a", 1, at(1)), ("b", "c", 1, at(1))])).first()
+    assert called and (r["strong_components"], r["largest_strong"], r["weak_components"], r["n_nodes"]) == (2, 2, 1, 3)
