@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlume.functions.columns import DAY_US
 from ledgerlume.functions.config import Settings
-from ledgerlume.operators import centrality, graph, models, patterns, scoring, timeslices
+from ledgerlume.operators import centrality, episodes, graph, models, patterns, scoring, timeslices
 from ledgerlume.plans import catalog
 from tests.helpers import at, table
 
@@ -165,3 +165,21 @@ def test_window_structure_shuffles_no_copies_of_pairs(spark):
     whole, part = centrality.by_window(tx), centrality.by_window(tx, structure_only=True)
     assert sorted(map(tuple, whole.select(*both).collect())) == sorted(map(tuple, part.select(*both).collect())) and part.columns == both
     assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("shared", "most"), [(1, 64), (2, 64), (2, 3), (2, 0), (3, 64)])
+def test_event_components_against_all_pairs(spark, monkeypatch, shared, most):
+    monkeypatch.setattr(episodes, "PAIRED", most)
+    r = random.Random(shared + most)
+    rows = [("fan_in", 0, at(r.randrange(60), r.randrange(0, 24, 6)), None, f"c{i}", [f"a{x}" for x in r.sample(range(300 if shared == 1 else 9 if shared == 3 else 30), r.randrange(2, 6))], [f"t{i}"], 1.0, "") for i in range(70)]
+    df = spark.createDataFrame(rows, "pattern_type string, window_id int, timestamp timestamp, span string, central_account string, accounts array<string>, transaction_ids array<string>, pattern_strength double, evidence string")
+    edges = [(x[4], y[4]) for x in rows for y in rows if x is y or len(set(x[5]) & set(y[5])) >= shared and abs((x[2] - y[2]).total_seconds()) <= 10 * 86400]
+    groups = {}
+    for c, least in graph.tarjan(edges).items():
+        groups.setdefault(least, set()).add(c)
+    name = {x["eid"]: x["central_account"] for x in episodes.normalised(df).collect()}
+    got = {}
+    plan = episodes.event_components(df, shared)
+    for x in plan.collect():
+        got.setdefault(x["component"], set()).add(name[x["eid"]])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())) and 1 < len(groups) < 70
