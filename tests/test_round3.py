@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlume.functions.columns import DAY_US
 from ledgerlume.functions.config import Settings
-from ledgerlume.operators import centrality, episodes, graph, models, patterns, scoring, timeslices
-from ledgerlume.plans import catalog
+from ledgerlume.operators import centrality, cyclecount, episodes, graph, models, patterns, scoring, timeslices
+from ledgerlume.plans import catalog, whole
 from tests.helpers import at, table
 
 
@@ -74,8 +74,6 @@ def slices_of(spark, rows, days, most, branching, starts):
 def test_circular_flow_all_has_no_cap(spark, tmp_path, monkeypatch):
     rows = [("a", "b", 1, at(0))] + [("b", f"c{i}", 1, at(0, 1, i)) for i in range(8)] + [("c7", "a", 1, at(1))]
     monkeypatch.setattr(catalog.fx, "transfers", lambda spark, folder: table(spark, rows))
-    from ledgerlume.plans import whole
-
     assert [r["transaction_ids"] for r in whole.pattern_circular_flow_all.__wrapped__(table(spark, rows)).collect()] == ["t0,t8,t9"]
     e = [x for x in patterns.detect_all(table(spark, rows), scope=None).collect() if x["pattern_type"] == "circular_flow"]
     assert len(e) == 1
@@ -183,3 +181,29 @@ def test_event_components_against_all_pairs(spark, monkeypatch, shared, most):
     for x in plan.collect():
         got.setdefault(x["component"], set()).add(name[x["eid"]])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())) and 1 < len(groups) < 70
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sparse_cycles_are_searched_and_dense_ones_counted(monkeypatch, seed):
+    r = random.Random(seed)
+    edges = sorted({(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(40)})
+    edges = [e for e in edges if e[0] != e[1]]
+    few = cyclecount.simple_cycles(edges, 6)
+    monkeypatch.setattr(cyclecount, "SEARCHED", 0)
+    assert cyclecount.simple_cycles(edges, 6) == few > 0
+    ring = [(f"m{i:04d}", f"m{(i * 7 + k) % 3000:04d}") for i in range(3000) for k in (1, 5)]
+    monkeypatch.setattr(cyclecount, "SEARCHED", 20_000_000)
+    monkeypatch.setattr(cyclecount, "_closed", None)  # no matrices of 3,000 accounts for two partners each
+    assert cyclecount.simple_cycles([e for e in ring if e[0] != e[1]], 8) >= 0
+
+
+def test_models_of_all_methods_have_their_full_size(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(whole, "_full_table", lambda spark, folder: None)
+    monkeypatch.setattr(models, "compare", lambda table, four: made.update(four))
+    monkeypatch.setattr(models, "ablation", lambda table, make: made.update(set=make(("f",))))
+    monkeypatch.setattr(models, "class_weight_experiment", lambda table, make: made.update(weight=make(0.1)))
+    for q in (whole.model_comparison_all, whole.ablation_all, whole.class_weights):
+        q(spark, "")
+    assert all((made[k].rounds, made[k].depth) == (300, 5) for k in ("proposed", "set", "weight"))
+    assert (made["temporal"].trees, made["temporal"].depth, made["static"].trees, made["static"].sample) == (300, 8, 200, 256)
